@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import copies, encoding, lines, quality, repetition
+from corpusloom.llm import copies, encoding, language, leakage, lines, mixing, quality, repetition
 from corpusloom.session import table
 
 
@@ -22,6 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_collapsed": lambda s, d: copies.collapsed(table(s, d, "pages")),
         "p7_found": lambda s, d: repetition.repetitive(table(s, d, "pages")).select("id"),
         "p7_shares": lambda s, d: repetition.repetition_profile(table(s, d, "pages")),
+        "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_leaks": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_report": lambda s, d: mixing.report(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p10_found": lambda s, d: language.found(table(s, d, "documents")),
+        "p10_documents": lambda s, d: language.document_languages(table(s, d, "documents")),
+        "p10_segments": lambda s, d: language.segments(table(s, d, "documents")),
     }
 
 
