@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import materialize, shared_dir
 
 #: Rounds that are planned as one job before the state is written and the lineage cut.
 ROUNDS_PER_JOB = 6
@@ -28,26 +30,30 @@ def peel(edges: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB) -> DataFrame:
     """``(id, parent, peel_round, subtree_size)`` by bottom-up leaf peeling.
 
     In each round the nodes without unpeeled children leave and send their subtree sizes to their
-    parents; only these messages are shuffled.  What is left when no node leaves lies on a cycle: its
-    peel_round is null, and its subtree_size counts the peeled trees that hang on it and itself.
+    parents: every node gives its own row and, as it leaves, one message, and the rows of an id are
+    added up.  So a round is one shuffle, and a job is a plain chain of them.  What is left when no
+    node leaves lies on a cycle: its peel_round is null, and its subtree_size counts the peeled trees
+    that hang on it and itself.
     """
-    children = edges.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("waiting"))
-    state = edges.join(children, "id", "left").select("id", "parent", F.coalesce("waiting", F.lit(0)).cast("long").alias("waiting"), F.lit(1).cast("long").alias("subtree_size"), F.lit(None).cast("int").alias("peel_round"))
+    one = F.lit(1).cast("long")
+    # A message is a row of the parent: one child less to wait for, and the child's subtree.
+    children = edges.filter("parent IS NOT NULL").select(F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent"), one.alias("waiting"), F.lit(0).cast("long").alias("subtree_size"))
+    state = edges.select("id", "parent", F.lit(0).cast("long").alias("waiting"), one.alias("subtree_size")).unionByName(children)
+    state = state.groupBy("id").agg(F.max("parent").alias("parent"), F.sum("waiting").alias("waiting"), F.sum("subtree_size").alias("subtree_size"), F.lit(0).alias("now"), F.max(F.lit(None).cast("int")).alias("peel_round"))
     state = materialize(state, "peel")
-    done = 0
+    before = state.count()
     while True:
-        # Peeled nodes only wait to be returned; messages can only go to those that are left.
-        left, gone = state.filter("peel_round IS NULL"), state.filter("peel_round IS NOT NULL")
-        before = left.count()
-        for k in range(done, done + rounds_per_job):
-            left = left.withColumn("peel_round", F.when((F.col("waiting") == 0) & F.col("peel_round").isNull(), F.lit(k)).otherwise(F.col("peel_round")))
-            sent = left.filter((F.col("peel_round") == k) & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.sum("subtree_size").alias("sizes"))
-            left = left.join(sent, "id", "left").select("id", "parent", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), (F.col("subtree_size") + F.coalesce("sizes", F.lit(0))).alias("subtree_size"), "peel_round")
-        done += rounds_per_job
-        state = materialize(gone.unionByName(left), "peel")
+        for _ in range(rounds_per_job):
+            leaves = F.col("peel_round").isNull() & (F.col("waiting") == 0)
+            own = F.struct("id", "parent", "waiting", "subtree_size", (F.col("now") + 1).alias("now"), F.when(leaves, F.col("now")).otherwise(F.col("peel_round")).alias("peel_round"))
+            message = F.struct(F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(-1).cast("long").alias("waiting"), "subtree_size", (F.col("now") + 1).alias("now"), F.lit(None).cast("int").alias("peel_round"))
+            rows = state.select(F.explode(F.when(leaves & F.col("parent").isNotNull(), F.array(own, message)).otherwise(F.array(own))).alias("x")).select("x.*")
+            state = rows.groupBy("id").agg(*[f(c).alias(c) for f, c in ((F.max, "parent"), (F.sum, "waiting"), (F.sum, "subtree_size"), (F.max, "now"), (F.max, "peel_round"))])
+        state = materialize(state, "peel")
         after = state.filter("peel_round IS NULL").count()
         if after == 0 or after == before:
-            return state.drop("waiting")
+            return state.drop("waiting", "now")
+        before = after
 
 
 def cycle_roots(residue: DataFrame, limit: int = 64) -> DataFrame:
@@ -83,28 +89,22 @@ def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> D
     if not on_cycle.isEmpty():
         top = top.unionByName(cycle_roots(on_cycle).select("id", "root_id", F.lit(-1).cast("long").alias("depth"), F.lit(CYCLE).alias("path")))
     below = peeled.filter("peel_round IS NOT NULL AND parent IS NOT NULL").select("id", "parent")
-    frontier = materialize(top, "level")
-    parts = [frontier]
-    while True:
-        levels, last = [], frontier
-        for _ in range(rounds_per_job):
-            up = last.select(F.col("id").alias("parent"), "root_id", "depth", "path")
-            last = below.join(up, "parent").select(
-                "id", "root_id", F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
-                F.when(F.col("depth") < 0, F.col("path")).otherwise(F.concat_ws("/", "path", F.col("id").cast("string"))).alias("path"),
-            )
-            levels.append(last.withColumn("level", F.lit(len(levels))))
-        union = levels[0]
-        for x in levels[1:]:
-            union = union.unionByName(x)
-        block = materialize(union, "level")
-        parts.append(block.drop("level"))
-        frontier = block.filter(F.col("level") == rounds_per_job - 1).drop("level")
+    below = below.repartition("parent").persist()
+    base_dir = f"{shared_dir(df.sparkSession)}/corpusloom/levels-{uuid.uuid4().hex}"
+    frontier, level = top, 0
+    while True:  # one folder for each level, read as one table in the end
+        frontier.write.parquet(f"{base_dir}/{level}")
+        frontier = df.sparkSession.read.schema(top.schema).parquet(f"{base_dir}/{level}")
         if frontier.isEmpty():
             break
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+        level += 1
+        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path")
+        frontier = below.join(up, "parent").select(
+            "id", "root_id", F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
+            F.when(F.col("depth") < 0, F.col("path")).otherwise(F.concat_ws("/", "path", F.col("id").cast("string"))).alias("path"),
+        )
+    below.unpersist()
+    out = df.sparkSession.read.schema(top.schema).parquet(f"{base_dir}/*")
     return out.join(base, "id").select("id", F.col("parent").alias("parent_id"), "root_id", "depth", "path", "subtree_size")
 
 
