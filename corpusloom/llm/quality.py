@@ -240,21 +240,23 @@ def _named(m: Mixture) -> Mixture:
 
 
 def classify(stats: DataFrame, m: Mixture) -> DataFrame:
-    """``stats`` with ``kind`` and its ``confidence``; the posterior is computed in Column arithmetic.
+    """``stats`` with ``kind`` and its ``confidence``, from the posteriors of whole batches.
 
     A document without visible text has the kind null.
     """
-    lines = []
-    for w, mean, var in zip(m.weight, m.mean, m.var):
-        terms = [f"{-0.5 / v!r}D * pow(({c} - {a!r}D) / {s!r}D - {mu!r}D, 2)" for c, a, s, mu, v in zip(FITTED, m.centre.tolist(), m.scale.tolist(), mean.tolist(), var.tolist())]
-        lines.append(f"{float(np.log(w) - 0.5 * np.log(2 * np.pi * var).sum())!r}D + " + " + ".join(terms))
-    top = stats.withColumn("ld", F.expr(f"array({', '.join(lines)})"))
-    top = top.withColumn("ld", F.expr("transform(ld, x -> exp(x - array_max(ld)))"))
-    per = {k: " + ".join(f"ld[{j}]" for j, kind in enumerate(m.kinds) if kind == k) or "0D" for k in KINDS}
-    top = top.withColumn("p", F.expr(f"array({', '.join(per[k] for k in KINDS)})")).withColumn("confidence", F.expr("array_max(p) / aggregate(p, 0D, (a, x) -> a + x)"))
-    names = F.array(*[F.lit(k) for k in KINDS])
-    kind = F.when(F.col("lines") > 0, F.element_at(names, F.expr("cast(array_position(p, array_max(p)) AS int)")))
-    return top.withColumn("kind", kind).drop("ld", "p")
+    member = np.array([[kind == k for k in KINDS] for kind in m.kinds], float)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        z = (np.stack([column[c].to_numpy(zero_copy_only=False) for c in FITTED], axis=1) - m.centre) / m.scale
+        ld = m.log_density(z)
+        p = np.exp(ld - ld.max(axis=1, keepdims=True)) @ member
+        best, seen = p.argmax(axis=1), column["lines"].to_numpy(zero_copy_only=False) > 0
+        kinds = pa.array([KINDS[j] if s else None for j, s in zip(best, seen)], pa.string())
+        confidence = pa.array(p.max(axis=1) / p.sum(axis=1), pa.float64())
+        return pa.RecordBatch.from_arrays([*batch.columns, kinds, confidence], names=[*batch.schema.names, "kind", "confidence"])
+
+    return map_batches(stats, ", ".join(f"{n} {t}" for n, t in stats.dtypes) + ", kind string, confidence double", step)
 
 
 def page_kinds(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
