@@ -32,5 +32,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: White space as lines are cut by.
+_SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_TEXTS = "page AS (SELECT id, any_value(domain_id) AS domain_id, any_value(text) AS text FROM pages WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": rf"""WITH {_TEXTS}, ls AS (SELECT id, domain_id, string_split(text, chr(10)) AS l FROM page WHERE domain_id IS NOT NULL),
+            raw AS (SELECT id, domain_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS x FROM ls),
+            line AS (SELECT id, domain_id, line_no, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '{_SPACE}', ' ', 'g')) AS c FROM raw WHERE regexp_matches(x, '\p{{L}}')),
+            n AS (SELECT domain_id, count(*) AS n FROM page WHERE domain_id IS NOT NULL AND regexp_replace(text, '{_SPACE}', '', 'g') <> '' GROUP BY 1),
+            hot AS (SELECT domain_id, c FROM line JOIN n USING (domain_id) GROUP BY domain_id, c, n HAVING count(DISTINCT id) >= 8 AND count(DISTINCT id) >= 0.05 * n)
+            SELECT id, line_no FROM line JOIN hot USING (domain_id, c)""",
+        "p7_found": rf"""WITH {_TEXTS}, w AS (SELECT id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM page),
+            g AS (SELECT id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+            again AS (SELECT id, i FROM (SELECT id, i, min(i) OVER (PARTITION BY id, g) AS first FROM g) WHERE i > first),
+            cover AS (SELECT id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY id)
+            SELECT id FROM cover JOIN w USING (id) WHERE n >= 0.3 * len(w)""",
+        "p7_shares": rf"""WITH {_TEXTS}, w AS (SELECT id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM page),
+            g AS (SELECT id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+            again AS (SELECT id, i FROM (SELECT id, i, min(i) OVER (PARTITION BY id, g) AS first FROM g) WHERE i > first),
+            cover AS (SELECT id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY id)
+            SELECT id, len(w) AS words, coalesce(n, 0) / greatest(len(w), 1) AS repeated_share FROM w LEFT JOIN cover USING (id)""",
+        "p8_found": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+            i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+') AS w FROM eval_items),
+            dg AS (SELECT DISTINCT doc_id, hash(w[k:k + 11]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+            ig AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    }
