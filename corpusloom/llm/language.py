@@ -32,6 +32,8 @@ SPELLINGS = {
 _LABELS = {word: lang for lang, words in SPELLINGS.items() for word in words.split()}
 #: Labelled documents of one language that the model is fitted on: the bound of its training sample.
 MAX_PER_LANGUAGE = 300
+#: Code points of a text that may enter that sample, which bounds its size; every text is labelled.
+MAX_TRAINING_CHARS = 20_000
 #: Spellings of labels, the most frequent first, that training looks at.
 MAX_LABELS = 2000
 BUCKETS = 1 << 18
@@ -239,7 +241,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, label_col: str, per
         own = [n for n in names if n is not None and label_language(n) == lang]
         if own:
             part = min(1.0, per_language / totals[lang])
-            pick = df.filter(F.col(label_col).isin(own) & F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30))))
+            pick = df.filter(F.col(label_col).isin(own) & (F.length(text_col) <= MAX_TRAINING_CHARS) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30))))
             rows.append(pick.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.lit(LANGS.index(lang)).alias("k")).limit(2 * per_language))
     if not rows:
         return [], []
