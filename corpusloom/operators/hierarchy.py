@@ -12,6 +12,9 @@ from corpusloom.session import materialize, shared_dir
 #: Rounds that are planned as one job before the state is written and the lineage cut.
 ROUNDS_PER_JOB = 6
 CYCLE = "cycle"
+#: A parent with more children than this is split in SALTS; there are at most nodes / HOT_CHILDREN of them.
+HOT_CHILDREN = 50_000
+SALTS = 32
 
 
 def latest_edges(df: DataFrame, id_col: str = "id", parent_col: str = "parent_domain_id", order_col: str = "updated_at") -> DataFrame:
@@ -89,7 +92,11 @@ def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> D
     if not on_cycle.isEmpty():
         top = top.unionByName(cycle_roots(on_cycle).select("id", "root_id", F.lit(-1).cast("long").alias("depth"), F.lit(CYCLE).alias("path")))
     below = peeled.filter("peel_round IS NOT NULL AND parent IS NOT NULL").select("id", "parent")
-    below = below.repartition("parent").persist()
+    # A parent with very many children is split: its children and its own row are spread over SALTS keys.
+    hot = materialize(below.groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CHILDREN).select("parent", F.lit(True).alias("hot")), "hot-parents")
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    below = below.join(F.broadcast(hot), "parent", "left").withColumn("salt", spread).drop("hot").repartition("parent", "salt").persist()
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     base_dir = f"{shared_dir(df.sparkSession)}/corpusloom/levels-{uuid.uuid4().hex}"
     frontier, level = top, 0
     while True:  # one folder for each level, read as one table in the end
@@ -98,8 +105,8 @@ def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> D
         if frontier.isEmpty():
             break
         level += 1
-        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path")
-        frontier = below.join(up, "parent").select(
+        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path").join(F.broadcast(hot), "parent", "left").withColumn("salt", F.explode(salts)).drop("hot")
+        frontier = below.join(up, ["parent", "salt"]).select(
             "id", "root_id", F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
             F.when(F.col("depth") < 0, F.col("path")).otherwise(F.concat_ws("/", "path", F.col("id").cast("string"))).alias("path"),
         )

@@ -43,25 +43,28 @@ def approximate_top_terms(tok: DataFrame, k: int = 20, tracked: int = 10_000) ->
     return tok.select(F.explode("words").alias("term")).agg(F.expr(f"approx_top_k(term, {k}, {tracked})").alias("top")).select(F.explode("top").alias("x")).select(F.col("x.item").alias("term"), F.col("x.count").alias("tf"))
 
 
-def ranked(vocab: DataFrame) -> DataFrame:
-    """``(term, tf, rank)`` by falling frequency, without a global sort in one task.
-
-    Terms of one frequency are numbered within it, after the terms of all higher ones; only the table
-    of distinct frequencies, which grows with the square root of the corpus at most, is summed in order.
-    """
-    sizes = vocab.groupBy("tf").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("tf").orderBy("term"))
-    return vocab.withColumn("inside", inside).join(before, "tf").select("term", "tf", (F.col("before") + F.col("inside")).alias("rank"))
-
-
 def zipf_bins(vocab: DataFrame) -> DataFrame:
-    """Mean rank and frequency in bins of a hundredth of the rank's decimal logarithm.
+    """``(bin, rank, frequency)``: mean rank and frequency in bins of a hundredth of the rank's decimal logarithm.
 
-    Terms of one frequency take consecutive ranks, so that only distinct frequencies are needed.
+    Terms of one frequency take consecutive ranks, so that distinct frequencies with their numbers of
+    terms are enough: each gives its range of ranks, which is cut at the bins' first ranks.  No term is
+    ranked, and the table of distinct frequencies grows with the square root of the corpus at most.
     """
-    bins = ranked(vocab).withColumn("bin", F.floor(F.lit(100) * F.log10("rank")))
-    return bins.groupBy("bin").agg(F.round(F.avg("rank"), 6).alias("rank"), F.round(F.avg("tf"), 6).alias("frequency"))
+    sizes = vocab.groupBy("tf").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, 0))
+    spans = sizes.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n") + 1)
+    place = lambda r: F.floor(F.lit(100) * F.log10(r))
+    guess = lambda b: F.ceil(F.pow(F.lit(10.0), b / 100)).cast("long")
+
+    def first(b):
+        # the rank that begins a bin, whichever way the power was rounded
+        g = guess(b)
+        return F.when(place(g) < b, g + 1).when((g > 1) & (place(F.greatest(g - 1, F.lit(1))) >= b), g - 1).otherwise(g)
+
+    cut = spans.withColumn("bin", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi")))))
+    cut = cut.withColumn("a", F.greatest("lo", first(F.col("bin")))).withColumn("b", F.least("hi", first(F.col("bin") + 1) - 1)).filter("a <= b")
+    m = F.col("b") - F.col("a") + 1
+    return cut.groupBy("bin").agg(F.round(F.sum((F.col("a") + F.col("b")) * m / 2) / F.sum(m), 6).alias("rank"), F.round(F.sum(F.col("tf") * m) / F.sum(m), 6).alias("frequency"))
 
 
 def coverage(vocab: DataFrame, points: tuple[int, ...] = (10, 100, 1_000, 10_000, 50_000)) -> DataFrame:

@@ -41,6 +41,13 @@ def test_random_forests_with_cycles(spark):
     assert {r.id: r.subtree_size for r in tree.collect() if r.depth >= 0} == sizes
 
 
+def test_hot_parents_are_split(spark, monkeypatch):
+    monkeypatch.setattr(H, "HOT_CHILDREN", 3)
+    parents = {i: (1 if i % 3 else max(1, i // 2)) for i in range(2, 60)} | {1: None}
+    got = {r.id: (r.root_id, r.depth, r.path) for r in H.found(frame(spark, [(i, p, "x") for i, p in parents.items()])).collect()}
+    assert got == brute(parents)
+
+
 def test_latest_row_nulls_ties_and_self_parent(spark):
     data = [(1, 2, "2025-01-01"), (1, None, "2025-02-01"), (2, 1, None), (2, 1, "2024-01-01"), (3, 3, "x"), (4, 3, "x"), (None, 1, "x"), (5, 404, "x"), (6, None, "x"), (6, 5, "x"), (6, 5, "x")]
     got = {r.id: (r.root_id, r.depth, r.path) for r in H.found(frame(spark, data)).collect()}

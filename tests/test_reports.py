@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -27,8 +28,12 @@ def test_curves(spark):
     assert L.coverage(v, (1, 2)).orderBy("rank").collect()[-1]["share"] == 1.0
     last = L.vocabulary_growth(tok).orderBy(F.desc("part")).first()
     assert (last.documents, last.types) == (9, v.count())
-    ranks = sorted(r["rank"] for r in L.ranked(v).collect())
-    assert ranks == list(range(1, v.count() + 1))
+    tf = sorted((r.tf for r in v.collect()), reverse=True)
+    bins: dict = {}
+    for rank, n in enumerate(tf, 1):
+        bins.setdefault(math.floor(100 * math.log10(rank)), []).append((rank, n))
+    want = {b: (round(sum(r for r, _ in x) / len(x), 6), round(sum(n for _, n in x) / len(x), 6)) for b, x in bins.items()}
+    assert {r.bin: (r.rank, r.frequency) for r in L.zipf_bins(v).collect()} == want
 
 
 def test_gini_ties_and_children(spark):
