@@ -33,7 +33,7 @@ _LABELS = {word: lang for lang, words in SPELLINGS.items() for word in words.spl
 #: Labelled documents of one language that the model is fitted on: the bound of its training sample.
 MAX_PER_LANGUAGE = 300
 #: Code points of a text that may enter that sample, which bounds its size; every text is labelled.
-MAX_TRAINING_CHARS = 20_000
+MAX_TRAINING_CHARS = 4_000
 #: Spellings of labels, the most frequent first, that training looks at.
 MAX_LABELS = 2000
 BUCKETS = 1 << 18
@@ -165,7 +165,7 @@ def _prepare(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return words, size, no, start, ranges
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 25, rate: float = 0.05, decay: float = 1e-5) -> Crf:
+def fit(texts: list[str], labels: list[int], rounds: int = 20, rate: float = 0.05, decay: float = 1e-5) -> Crf:
     """Maximum-likelihood fit by adaptive gradient steps from the features' log-odds, twice.
 
     First every word bears the label of its document; as labels may be wrong and texts mixed, the

@@ -21,6 +21,7 @@ SEED = 17
 WINDOW = 8192
 #: Parts of a group of documents of one source and length, by their seeded hash.
 PARTS = 64
+SALTS = 16
 
 
 @lru_cache(maxsize=2)
@@ -139,7 +140,9 @@ def _mix(tokens: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
         histogram[r.source][r.n_tokens] = r.n
     plan = spark.createDataFrame(plan_mix(_targets(targets), histogram), "recipe string, source string, n_tokens long, copies long, extra long")
     group = ["recipe", "source", "n_tokens"]
-    each = tokens.join(plan, ["source", "n_tokens"])
+    # One source and length may hold very many documents: both sides are spread by a part of the id.
+    spread = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = tokens.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["source", "n_tokens", "salt"]).drop("salt")
     whole = each.filter("extra = 0").select(*group, "doc_id", "copies")
     drawn = each.filter("extra > 0").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed), F.col("recipe"))).withColumn("part", F.pmod("h", F.lit(PARTS)))
     sizes = drawn.groupBy(*group, "part").agg(F.count("*").alias("n"))
