@@ -20,12 +20,12 @@ from corpusloom.session import materialize
 #: Common words of the six languages, which sentences need and items do not.
 COMMON = frozenset(
     (
-        "a à ao aos as às com da das de do dos e é em entre foi já mais mas na não nas no nos o os ou para pela pelo por porque que quando se sem seu sua um uma até após sobre "
-        "al con contra cuando del desde el en es esta este hacia hasta la las lo los más no pero pues según sin su también tras un una y ya "
-        "about after against and at because before for from has in is it of on that the this to was when while with without "
-        "au aux avec avant cette chez dans depuis des du elle en est et il le les mais ne où par pas pour puisque quand qui sa sans selon sur une "
-        "aber am an auf aus bei das dem den der des die ein eine für gegen hat im ist mit nach ohne seit sich und von vor während weil wie zu zum zur "
-        "alla che ci con contro da dal dalla dei del della di dopo fino gli ha i il in la le ma nel nella non per perché più quando secondo senza si su un una"
+        "a à ao aos as às com da das de do dos e é em entre foi já mais mas na não nas no nos o os ou para pela pelo por porque que quando se sem seu sua um uma até após sobre segundo contra desde durante como ainda também "
+        "al con contra cuando del desde el en es esta este hacia hasta la las lo los más no pero pues según sin su también tras un una y ya durante desde como todavía sobre "
+        "about after against and at because before for from has in is it of on that the this to was when while with without during between also still together according "
+        "au aux avec avant cette chez dans depuis des du elle en est et il le les mais ne où par pas pour puisque quand qui sa sans selon sur une pendant contre aussi encore comme vers "
+        "aber am an auf aus bei das dem den der des die ein eine für gegen hat im ist mit nach ohne seit sich und von vor während weil wie zu zum zur laut zwischen auch noch über bis gegen hinter "
+        "alla che ci con contro da dal dalla dei del della di dopo fino gli ha i il in la le ma nel nella non per perché più quando secondo senza si su un una contro durante anche ancora come tra insieme"
     ).split()
 )
 KINDS = ("prose", "list", "table", "junk")
@@ -33,8 +33,8 @@ KINDS = ("prose", "list", "table", "junk")
 FITTED = ("prose_share", "list_share", "table_share", "junk_share", "common_share", "symbol_ratio", "digit_ratio", "vowel_ratio")
 SHARE = 2 / 3
 
-_BULLET = re.compile(r"\s*(?:[-–—*•·‣▪+o]|\(?\d{1,4}[.)]|\(?[a-zA-Z]{1,2}[.)]|\[[ xX]?\])\s+(?=\S)")
-_MARKS = re.compile(r"(?:(?<=\s)|^)(?:[-*•‣▪]|\d{1,4}[.)]|[a-zA-Z]{1,2}\)|\[[ xX]?\])\s+(?=\S)")
+_BULLET = re.compile(r"\s*(?:[-–—*•·‣▪+o]|\(?\d{1,4}[.)]|\(?[a-zA-Z]{1,2}[.)]|\[\s*[xX]?\s*\])\s+(?=\S)")
+_MARKS = re.compile(r"(?:(?<=\s)|^)(?:[-*•‣▪]|\d{1,4}[.)]|[a-zA-Z]{1,2}\)|\[\s*[xX]?\s*\])\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 _CELL = re.compile(r"\s*[\t|;]\s*|\s+[/·›]\s+|\s{3,}|,(?=\S)")
 _FIELD = re.compile(r"(?:^|[|;\n])\s*[^\W\d_]+(?: [^\W\d_]+){0,2}\s*:\s*[^:|;\n]*(?=$|[|;\n])")
@@ -65,7 +65,8 @@ def vowel_ratio(words: list[str]) -> float:
 def _line_kind(line: str, words: list[str], common: int) -> str:
     n = len(words)
     marked = _CODE_MARK.search(line) is not None
-    varied = n < 8 or common * 4 >= n or len(COMMON.intersection(words)) >= 2
+    # A keyword string may repeat one common word; a sentence has several of them, or stops.
+    varied = n < 8 or common * 4 >= n or len(COMMON.intersection(words)) >= 2 or "," in line or _STOP.search(line) is not None
     if n >= 5 and common * 5 >= n and varied and not marked:
         return "prose"
     tokens = line.split()
