@@ -16,6 +16,9 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dic
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    from corpusloom.session import ship
+
+    ship(df.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

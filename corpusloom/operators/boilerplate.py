@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.session import materialize
+from corpusloom.session import materialize, ship
 
 PARAGRAPH_CHARS = 80
 BLOCK_LINES = 3
@@ -108,6 +108,8 @@ def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     units = text_units(docs).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     hits = units.join(keyed, ["domain_id", "kind", "unit", "salt"]).groupBy("page_id").agg(F.collect_set("key").alias("keys"))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("struct<text:string, removed:long>")
     def strip(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
         rows = [_clean_one(t, set(k)) if k is not None and len(k) else (t, 0) for t, k in zip(text, keys)]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.session import ship
 
 WINDOW = 100
 #: Sequences that mark text decoded wrongly; some begin others, so they count twice.
@@ -21,6 +22,8 @@ def occurrences(text: Column, marker: str) -> Column:
 
 def mattr(words: Column, window: int = WINDOW) -> Column:
     """Moving-average type-token ratio; null for fewer words than the window."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:

@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per context: they may not have it on their path.
+
+    The archive lies in the folder from which Spark serves files to the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_corpusloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(SparkFiles.getRootDirectory(), f"corpusloom-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._corpusloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
