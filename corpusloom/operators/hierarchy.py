@@ -94,9 +94,13 @@ def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> D
     below = peeled.filter("peel_round IS NOT NULL AND parent IS NOT NULL").select("id", "parent")
     # A parent with very many children is split: its children and its own row are spread over SALTS keys.
     hot = materialize(below.groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CHILDREN).select("parent", F.lit(True).alias("hot")), "hot-parents")
-    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    below = below.join(F.broadcast(hot), "parent", "left").withColumn("salt", spread).drop("hot").repartition("parent", "salt").persist()
+    split = not hot.isEmpty()
+    if split:
+        part = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+        below = below.join(F.broadcast(hot), "parent", "left").withColumn("salt", part).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    key = ["parent", "salt"] if split else ["parent"]
+    below = below.repartition(*key).persist()
     base_dir = f"{shared_dir(df.sparkSession)}/corpusloom/levels-{uuid.uuid4().hex}"
     frontier, level = top, 0
     while True:  # one folder for each level, read as one table in the end
@@ -105,8 +109,10 @@ def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> D
         if frontier.isEmpty():
             break
         level += 1
-        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path").join(F.broadcast(hot), "parent", "left").withColumn("salt", F.explode(salts)).drop("hot")
-        frontier = below.join(up, ["parent", "salt"]).select(
+        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path")
+        if split:
+            up = up.join(F.broadcast(hot), "parent", "left").withColumn("salt", F.explode(salts)).drop("hot")
+        frontier = below.join(up, key).select(
             "id", "root_id", F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
             F.when(F.col("depth") < 0, F.col("path")).otherwise(F.concat_ws("/", "path", F.col("id").cast("string"))).alias("path"),
         )
