@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import noise
 from corpusloom.functions import text as tx
 from corpusloom.session import materialize, ship
 
@@ -152,6 +153,38 @@ def short_line_candidates(docs: DataFrame, min_documents: int = 20, fraction: fl
     return found.join(sizes, "domain_id").withColumn("threshold", threshold).filter("document_frequency >= threshold")
 
 
+def interface_lines(docs: DataFrame, canon: DataFrame) -> DataFrame:
+    """``(domain_id, line, rule, document_frequency)``: interface lines of encyclopaedia domains; one document is enough.
+
+    ``canon`` has ``id`` and ``is_wiki``; lines of other domains are never looked at.
+    """
+    wiki = canon.filter("is_wiki").select(F.col("id").alias("domain_id"))
+    own = docs.join(wiki, "domain_id", "left_semi").select("page_id", "domain_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), noise.canonical_line))).alias("line"))
+    return own.withColumn("rule", noise.wiki_rule(F.col("line"))).filter("rule IS NOT NULL").groupBy("domain_id", "line", "rule").agg(F.count("*").alias("document_frequency"))
+
+
+def short_pairs(docs: DataFrame, least: int = 3, fraction: float = 0.10) -> DataFrame:
+    """``(page_id, domain_id, pair)``: the distinct pairs of physically adjacent lines in one edge of a document, of 6 to 159 characters."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("at"))), lambda s: s["x"] != "")
+    n = F.size("own")
+    size = F.greatest(F.lit(least), F.ceil(F.lit(fraction) * n)).cast("int")
+    size = F.when(n > 2, F.least(size, F.greatest(F.lit(1), F.floor((n - 1) / 2).cast("int")))).otherwise(size)
+    rows = docs.withColumn("own", lines).withColumn("edge", size).withColumn("n", n).filter("n >= 2")
+    edge = lambda i: (i <= F.col("edge")) | (i > F.col("n") - F.col("edge"))
+    picked = F.filter(F.sequence(F.lit(1), F.col("n") - 1), lambda i: edge(i) & edge(i + 1) & (F.element_at("own", i + 1)["at"] == F.element_at("own", i)["at"] + 1))
+    pair = F.transform(picked, lambda i: noise.canonical_line(F.concat_ws("\n", F.element_at("own", i)["x"], F.element_at("own", i + 1)["x"])))
+    return rows.select("page_id", "domain_id", F.explode(F.array_distinct(F.filter(pair, lambda p: F.length(p).between(6, 159)))).alias("pair"))
+
+
+def short_pair_candidates(docs: DataFrame, min_documents: int = 20, fraction: float = 0.01) -> DataFrame:
+    """Adjacent edge pairs of a domain on at least greatest(min_documents, ceil(fraction * documents)) of its documents."""
+    known = docs.filter("domain_id IS NOT NULL")
+    found = short_pairs(known).groupBy("domain_id", "pair").agg(F.count("*").alias("document_frequency"), F.min("page_id").alias("representative"))
+    sizes = known.groupBy("domain_id").agg(F.count("*").alias("domain_documents"))
+    threshold = F.greatest(F.lit(min_documents), F.ceil(F.col("domain_documents") * F.lit(fraction))).cast("long")
+    return found.join(sizes, "domain_id").withColumn("threshold", threshold).filter("document_frequency >= threshold")
+
+
 def two_rounds(pages: DataFrame) -> DataFrame:
     """``(page_id, domain_id, characters_before, characters_clean, characters_final, removed_lines)``: both cleaning rounds.
 

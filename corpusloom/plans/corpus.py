@@ -194,6 +194,16 @@ def _(s, d):
     return boilerplate.short_line_candidates(_page_docs(s, d))
 
 
+@_query("short_pair_candidates")
+def _(s, d):
+    return boilerplate.short_pair_candidates(_page_docs(s, d))
+
+
+@_query("interface_lines")
+def _(s, d):
+    return boilerplate.interface_lines(_page_docs(s, d), _canon(s, d))
+
+
 @_query("clean_two_rounds")
 def _(s, d):
     return boilerplate.two_rounds(table(s, d, "pages"))

@@ -82,3 +82,12 @@ def test_fixed_histogram_edges(spark):
     df = spark.createDataFrame([(1,), (2,), (101,), (102,), (9999,), (10000,), (None,)], "characters long")
     assert rows(C.fixed_histogram(df, "characters"), "bin", "documents") == [(-1, 1), (0, 2), (1, 1), (100, 1), (99, 1)]
     assert C.fixed_histogram(df.limit(0), "characters").count() == 0
+
+
+def test_interface_lines_and_pairs(spark):
+    docs = spark.createDataFrame([(1, 1, "Editar\nCorpo de texto\nEsta página foi editada pela última vez às 10:00"), (2, 2, "Editar"), (3, None, "Editar"), (4, 1, "editar código da escola")], "page_id long, domain_id long, text string")
+    canon = spark.createDataFrame([(1, True), (2, False)], "id long, is_wiki boolean")
+    assert rows(B.interface_lines(docs, canon), "line", "rule") == [("editar", "literal:editar"), ("esta página foi editada pela última vez às 10:00", "pattern:0")]
+    two = spark.createDataFrame([(1, 1, "Top one\n Next  two\n\nbody\nmore body\nlast"), (2, 1, ""), (3, 1, "single")], "page_id long, domain_id long, text string")
+    assert rows(B.short_pairs(two), "page_id", "pair") == [(1, "more body last"), (1, "top one next two")]
+    assert B.short_pair_candidates(two, min_documents=1).count() == 2 and B.short_pair_candidates(two.limit(0)).count() == 0
