@@ -2,8 +2,9 @@
 
 Passages become TF-IDF vectors over hashed words and word pairs; a distributed randomised singular
 value decomposition gives a latent space, in which every document passage is compared with every
-passage of the evaluation items by cosine.  Candidates are then checked word by word: for a run of
-words that both hold, or for a long common subsequence (paraphrases).
+passage of the evaluation items by cosine.  Candidates are then checked word by word, for a run of words
+that both hold.  Paraphrases are looked for by a long common subsequence, with every pair of passages
+that shares enough words, whatever its cosine.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ SAMPLE_PASSAGES = 60_000
 SAMPLE_PARTS = 4
 #: Cosine from which a pair of passages is a candidate.
 CANDIDATE = 0.30
-#: Share of the item passage that a common subsequence must cover for a paraphrase, and the cosine from which it is looked for.
+#: Share of the item passage that a common subsequence with PASSAGE words of a document must cover for a paraphrase.
 PARAPHRASE = 0.8
-PARAPHRASE_COSINE = 0.75
+#: Words of an item passage, those in the fewest item passages, by which paraphrase candidates are met; at most RUN.
+RARE = 8
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -220,6 +222,8 @@ class ItemIndex:
     runs: np.ndarray
     words: np.ndarray
     items: list[list[int]]
+    rare: tuple[np.ndarray, np.ndarray]
+    need: np.ndarray
 
 
 def index_items(ids: list[int], texts: list[str], latent: Latent) -> ItemIndex:
@@ -242,13 +246,28 @@ def index_items(ids: list[int], texts: list[str], latent: Latent) -> ItemIndex:
     for j, k in enumerate(rows):
         n = min(width, last[k] - RUN + 1 - first[k])
         table[j, : max(n, 0)] = runs[first[k] : first[k] + max(n, 0)]
-    return ItemIndex(vectors[rows], table, words[rows], items)
+    kept = words[rows]
+    return ItemIndex(vectors[rows], table, kept, items, rare_words(kept), np.ceil(PARAPHRASE * (kept != 0).sum(axis=1) - 1e-9).astype(np.int64))
+
+
+def rare_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted word hashes, and the item passage of each: the RARE places of every passage whose words stand in the fewest."""
+    code, distinct = pd.factorize(words.reshape(-1))
+    often = np.bincount(code, minlength=len(distinct))[code].reshape(words.shape)
+    often[words == 0] = np.iinfo(often.dtype).max
+    at = np.argsort(often, axis=1, kind="stable")[:, :RARE]
+    keys, owners = np.take_along_axis(words, at, axis=1).reshape(-1), np.repeat(np.arange(len(words)), at.shape[1])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owners[order]
 
 
 #: Items that one pass over the documents compares with: the bound of what is sent to the workers.
 ITEM_SLICE = 5_000
 #: Passages compared at a time.
 BLOCK = 1_000
+#: Pairs of a window and an item passage that are counted, and that are compared word by word, at a time.
+PAIRS = 4_000_000
+LCS_PAIRS = 20_000
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,6 +283,60 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1].astype(np.int64)
 
 
+def _paraphrases(tok: Tokens, latent: Latent, index: ItemIndex) -> list[tuple[int, int, str, float, int]]:
+    """As ``_search``: every item passage of which PASSAGE consecutive words of a text, wherever they begin, hold PARAPHRASE in order.
+
+    No pair that qualifies is left out.  Each such run of words lies in one window of PASSAGE + RUN words, and an
+    item passage may miss few of its words there, so few of its RARE ones; what passes that count gets
+    the common subsequence, first with the window, then with the runs of PASSAGE words in it.
+    """
+    text, first, last = tok.windows(PASSAGE + RUN, RUN)
+    keys, owners = index.rare
+    hashes = np.concatenate((tok.hash, np.zeros(PASSAGE + RUN, np.uint64)))
+    least = RARE - ((index.words != 0).sum(axis=1) - index.need)
+    found_pairs: list[tuple[np.ndarray, ...]] = []
+    step = max(1, PAIRS // len(index.items))
+    for lo in range(0, len(first), step):
+        part = slice(lo, min(lo + step, len(first)))
+        at = first[part][:, None] + np.arange(PASSAGE + RUN)
+        own = np.sort(np.where(at < last[part][:, None], hashes[at], 0), axis=1)
+        own[:, 1:][own[:, 1:] == own[:, :-1]] = 0  # each word of a window once
+        left, right = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+        row, col = np.nonzero((right > left) & (own != 0))
+        n = right[row, col] - left[row, col]
+        held = np.zeros((len(own), len(index.items)), np.uint8)
+        for a, b in _slices(n, PAIRS):
+            m = n[a:b]
+            place = np.repeat(left[row[a:b], col[a:b]] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+            np.add.at(held.reshape(-1), np.repeat(row[a:b], m) * held.shape[1] + owners[place], np.uint8(1))
+        window, passage = np.nonzero(held >= least)
+        for k in range(0, len(window), LCS_PAIRS):
+            w, j = window[k : k + LCS_PAIRS] + lo, passage[k : k + LCS_PAIRS]
+            at = first[w][:, None] + np.arange(PASSAGE + RUN)
+            a = np.where(at < last[w][:, None], hashes[at], 0)
+            enough = (a[:, :, None] == index.words[j][:, None, :]).any(axis=1).sum(axis=1) - (index.words[j] == 0).sum(axis=1) * (a == 0).any(axis=1) >= index.need[j]
+            w, j, a = w[enough], j[enough], a[enough]
+            long = common_subsequence(a, index.words[j]) >= index.need[j]
+            w, j, a = w[long], j[long], a[long]
+            inner = np.lib.stride_tricks.sliding_window_view(a, PASSAGE, axis=1).reshape(-1, PASSAGE)
+            common = common_subsequence(inner, np.repeat(index.words[j], RUN + 1, axis=0)).reshape(-1, RUN + 1)
+            best, shift = common.max(axis=1, initial=0), common.argmax(axis=1)
+            hit = best >= index.need[j]
+            found_pairs.append((w[hit], j[hit], best[hit], first[w[hit]] + shift[hit]))
+    w, j, best, begin = map(np.concatenate, zip(*found_pairs)) if found_pairs else [np.zeros(0, np.int64)] * 4
+    if not len(w):
+        return []
+    cosine = np.einsum("ij,ij->i", latent.vectors(tok, begin, np.minimum(begin + PASSAGE, last[w])), index.vectors[j])
+    return [(int(text[x]), int(y), "paraphrase", float(c), int(m)) for x, y, c, m in zip(w, j, cosine, best)]
+
+
+def _slices(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of ``sizes`` whose sums stay about ``limit``."""
+    group = np.cumsum(sizes) // limit
+    cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cut, cut[1:]) if b > a]
+
+
 def _search(texts: list[str], latent: Latent, index: ItemIndex, by_run: tuple[np.ndarray, np.ndarray], candidate: float, paraphrases: bool) -> list[tuple[int, int, str, float, int]]:
     """(text, item passage, kind, cosine, words in common) of each leak among some texts."""
     tok = Tokens(texts)
@@ -285,22 +358,12 @@ def _search(texts: list[str], latent: Latent, index: ItemIndex, by_run: tuple[np
         # the exact check of the candidates: item passages that hold one of the passage's runs
         left, right = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
         row, col = np.nonzero((right > left) & (own != 0))
-        shared = np.zeros(len(candidates), bool)
         for r, c in zip(row, col):
             for j in owners[left[r, c] : right[r, c]]:
                 if candidates[r, j]:
-                    shared[r] = True
                     out.append((int(text[lo + r]), int(j), "exact", float(cosine[r, j]), RUN))
-        if paraphrases:
-            near = cosine.argmax(axis=1)
-            r = np.flatnonzero(~shared & (cosine[np.arange(len(near)), near] >= PARAPHRASE_COSINE))
-            if len(r):
-                at = first[part][r][:, None] + np.arange(PASSAGE)
-                a = np.where(at < last[part][r][:, None], hashes[at], 0)
-                b = index.words[near[r]]
-                common, size = common_subsequence(a, b), (b != 0).sum(axis=1)
-                for k in np.flatnonzero(common >= PARAPHRASE * size):
-                    out.append((int(text[lo + r[k]]), int(near[r[k]]), "paraphrase", float(cosine[r[k], near[r[k]]]), int(common[k])))
+    if paraphrases:
+        out += _paraphrases(tok, latent, index)
     return out
 
 
@@ -308,8 +371,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_
     """``(doc_id, item_id, kind, cosine, words)``: each document and item that share a passage.
 
     ``kind`` is ``exact`` where RUN consecutive words of the item stand in the document, else
-    ``paraphrase`` where a passage's nearest item passage shares a common subsequence of PARAPHRASE of
-    its words; ``words`` is the longest match seen, RUN for exact ones.  Rows with a null id or text
+    ``paraphrase`` where PASSAGE consecutive words of it share a common subsequence of PARAPHRASE of the
+    words of any item passage; ``words`` is the longest match seen, at least RUN for exact ones.  Rows with a null id or text
     take no part; texts of fewer than RUN words have no passage; ids that stand twice give one row.
     Items are compared in slices of ITEM_SLICE, each document passage with every item passage.
     """

@@ -88,3 +88,43 @@ def test_long_text(spark):
     i = spark.createDataFrame([(*r, 1) for r in items[:3]], ITEMS)
     n = len(items[0][1].split())
     assert rows(K.found(d, i)) == ([(1, 100)] if n >= 12 else [])
+
+
+def test_paraphrases_against_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"v{k}" for k in range(60)]
+    items = [(100 + i, " ".join(rng.choices(vocab, k=rng.randint(12, 40)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = rng.choices(vocab, k=rng.randint(0, 90))
+        for source in rng.sample(items, 2):  # often beside each other, one of them word by word
+            part = source[1].split()[:20]
+            if rng.random() < 0.6:
+                part[5::6] = ["other"] * len(part[5::6])
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = part
+        docs.append((i, " ".join(w)))
+    want = brute(docs, items)
+    for item, text in items:
+        own = np.array(text.split())
+        for at in range(0, len(own) - 11, 4):
+            b = own[at : at + 16]
+            for doc, t in docs:
+                w = np.array(t.split())
+                for k in range(max(1, len(w) - 23)):
+                    a = w[k : k + 24]
+                    if np.isin(b, a).sum() >= 0.8 * len(b) and lcs_of(a, b) >= 0.8 * len(b):
+                        want.add((doc, item))
+                        break
+    d = spark.createDataFrame([(*r, 1, "c") for r in docs], DOCS)
+    i = spark.createDataFrame([(*r, 1) for r in items], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in K.leaks(d, i).collect()}
+    assert got == want and len(want) > 100
+
+
+def lcs_of(x, y):
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
