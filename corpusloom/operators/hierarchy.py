@@ -78,19 +78,20 @@ def cycle_roots(residue: DataFrame, limit: int = 64) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> DataFrame:
-    """``(id, parent_id, root_id, depth, path, subtree_size)``: one row for each distinct id.
+    """``(id, parent_id, root_id, depth, path, subtree_size, cycle_path)``: one row for each distinct id.
 
     ``path`` joins the ids from the root by ``/``.  On or below a cycle the root is the smallest id on
     the cycle, the depth -1 and the path ``cycle``; subtree_size counts the node and what hangs
-    below it (on a cycle: the trees that hang on the node).  Assignment runs in reverse peel order:
+    below it (on a cycle: the trees that hang on the node).  ``cycle_path`` joins the ids from the node
+    of the cycle that a tree hangs on, and is null where there is no cycle.  Assignment runs in reverse peel order:
     roots and cycles first, then what hangs on them, level by level.  An empty input gives no rows.
     """
     peeled = materialize(peel(materialize(latest_edges(df, **names), "edges"), rounds_per_job), "peeled")
     base = peeled.select("id", "parent", "subtree_size")
     on_cycle = peeled.filter("peel_round IS NULL").select("id", "parent")
-    top = peeled.filter("peel_round IS NOT NULL AND parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.col("id").cast("string").alias("path"))
+    top = peeled.filter("peel_round IS NOT NULL AND parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.col("id").cast("string").alias("path"), F.lit(None).cast("string").alias("cycle_path"))
     if not on_cycle.isEmpty():
-        top = top.unionByName(cycle_roots(on_cycle).select("id", "root_id", F.lit(-1).cast("long").alias("depth"), F.lit(CYCLE).alias("path")))
+        top = top.unionByName(cycle_roots(on_cycle).select("id", "root_id", F.lit(-1).cast("long").alias("depth"), F.lit(CYCLE).alias("path"), F.col("id").cast("string").alias("cycle_path")))
     below = peeled.filter("peel_round IS NOT NULL AND parent IS NOT NULL").select("id", "parent")
     # A parent with very many children is split: its children and its own row are spread over SALTS keys.
     hot = materialize(below.groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CHILDREN).select("parent", F.lit(True).alias("hot")), "hot-parents")
@@ -109,16 +110,17 @@ def hierarchy(df: DataFrame, rounds_per_job: int = ROUNDS_PER_JOB, **names) -> D
         if frontier.isEmpty():
             break
         level += 1
-        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path")
+        up = frontier.select(F.col("id").alias("parent"), "root_id", "depth", "path", "cycle_path")
         if split:
             up = up.join(F.broadcast(hot), "parent", "left").withColumn("salt", F.explode(salts)).drop("hot")
         frontier = below.join(up, key).select(
             "id", "root_id", F.when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
             F.when(F.col("depth") < 0, F.col("path")).otherwise(F.concat_ws("/", "path", F.col("id").cast("string"))).alias("path"),
+            F.when(F.col("depth") < 0, F.concat_ws("/", "cycle_path", F.col("id").cast("string"))).alias("cycle_path"),
         )
     below.unpersist()
     out = df.sparkSession.read.schema(top.schema).parquet(f"{base_dir}/*")
-    return out.join(base, "id").select("id", F.col("parent").alias("parent_id"), "root_id", "depth", "path", "subtree_size")
+    return out.join(base, "id").select("id", F.col("parent").alias("parent_id"), "root_id", "depth", "path", "subtree_size", "cycle_path")
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -130,6 +132,16 @@ def descendants(tree: DataFrame) -> DataFrame:
     return nodes.filter(F.col("at") < F.col("depth")).select(F.col("ancestor").cast("long").alias("ancestor_id"), F.col("id").alias("descendant_id"), (F.col("depth") - F.col("at")).cast("long").alias("distance"))
 
 
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """As ``descendants``, and the pairs of the trees that hang on a cycle, up to the node of the cycle they hang on.
+
+    Nodes of one cycle are no pairs: each is above and below the others.
+    """
+    steps = F.split(F.coalesce("cycle_path", "path"), "/")
+    nodes = tree.select("id", (F.size(steps) - 1).alias("last"), F.posexplode(steps).alias("at", "ancestor"))
+    return nodes.filter(F.col("at") < F.col("last")).select(F.col("ancestor").cast("long").alias("ancestor_id"), F.col("id").alias("descendant_id"), (F.col("last") - F.col("at")).cast("long").alias("distance"))
+
+
 def cycles(tree: DataFrame) -> DataFrame:
     """``(root_id, nodes)``: each cycle with the number of nodes on or below it."""
     return tree.filter("depth = -1").groupBy("root_id").agg(F.count("*").alias("nodes"))

@@ -58,3 +58,10 @@ def test_empty_and_chain(spark):
     assert H.found(frame(spark, [])).count() == 0
     got = {r.id: r.depth for r in H.found(frame(spark, [(i, i - 1 or None, "x") for i in range(1, 21)])).collect()}
     assert got == {i: i - 1 for i in range(1, 21)}
+
+
+def test_descendants_below_cycles(spark):
+    parents = {1: 2, 2: 1, 3: 2, 4: 3, 5: 4, 6: 3, 7: 7, 8: 7, 10: None, 11: 10}
+    tree = H.hierarchy(frame(spark, [(i, p, "x") for i, p in parents.items()]))
+    got = {tuple(r) for r in H.all_descendants(tree).collect()}
+    assert got == {(2, 3, 1), (2, 4, 2), (3, 4, 1), (2, 5, 3), (3, 5, 2), (4, 5, 1), (2, 6, 2), (3, 6, 1), (7, 8, 1), (10, 11, 1)}
