@@ -16,6 +16,8 @@ from corpusloom.session import materialize
 SHINGLE = 5
 MIN_WORDS = 50
 JACCARD = 0.85
+#: The similarity of the whole job, over every document that has a shingle.
+ALL_JACCARD = 0.8
 HASHES, BANDS = 112, 14
 SEED = 73129
 
@@ -131,3 +133,14 @@ def near_groups(docs: DataFrame, jaccard: float = JACCARD, **kw) -> DataFrame:
     labels = components(sets.select(F.col("set_id").alias("id")), pairs)
     degree = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).groupBy("set_id").agg(F.count("*").alias("links"))
     return members.join(labels.select(F.col("id").alias("set_id"), F.col("component").alias("class_id")), "set_id").join(degree, "set_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def all_near_groups(docs: DataFrame, jaccard: float = ALL_JACCARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_groups``, one row for each distinct document with a text, however short.
+
+    Every document of at least SHINGLE words takes part; shorter ones have no shingle and are classes of
+    their own, with no links.
+    """
+    groups = near_groups(docs, jaccard, id_col=id_col, text_col=text_col, min_words=SHINGLE)
+    short = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.size(tx.words(F.col(text_col))) < SHINGLE)).select(F.col(id_col).alias("doc_id")).distinct()
+    return groups.unionByName(short.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))

@@ -499,6 +499,17 @@ def _(s, d):
     return near.near_groups(_page_docs(s, d), id_col="page_id")
 
 
+@_query("all_near_pairs")
+def _(s, d):
+    sets, _members = near.shingle_sets(_page_docs(s, d), id_col="page_id", min_words=near.SHINGLE)
+    return near.similar_sets(sets, near.ALL_JACCARD).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@_query("all_near_groups")
+def _(s, d):
+    return near.all_near_groups(_page_docs(s, d), id_col="page_id")
+
+
 @_query("minhash_pairs")
 def _(s, d):
     sets, _members = near.shingle_sets(_page_docs(s, d), id_col="page_id")

@@ -82,6 +82,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert N.near_groups(df.limit(0)).count() == 0
 
 
+def test_all_near_groups_keeps_short_texts(spark):
+    base = [f"w{chr(97 + k)}" for k in range(20)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(base[::-1]), "a b c d e", "a b c d e", "only four words here", "", None]
+    long = [f"x{chr(97 + a)}{chr(97 + b)}" for a in range(10) for b in range(10)]
+    texts += [" ".join(long), " ".join(long[:50] + ["new"] + long[51:90])]  # 81 of 101 shingles: between 0.80 and 0.85
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(N.all_near_groups(df)) == [(0, 0, 1), (1, 0, 1), (2, 2, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 6, 0), (8, 8, 1), (9, 8, 1)]
+
+
 def test_gate_and_sample(spark):
     df = spark.createDataFrame([(i, "a" if i < 90 else None, i % 10 > 0) for i in range(100)], "id long, g string, good boolean")
     gate = {r.g: r for r in S.review_gate(df, "g", F.col("good")).collect()}
