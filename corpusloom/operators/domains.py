@@ -50,23 +50,26 @@ def children_reconciliation(canon: DataFrame) -> DataFrame:
     return out.withColumn("reconciled", F.col("total") == F.col("without_parent") + F.col("missing_parent") + F.col("linked"))
 
 
-def ancestors(canon: DataFrame, wanted: DataFrame, rounds: int = 10_000) -> DataFrame:
+def ancestors(canon: DataFrame, wanted: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(id)``: the wanted domains and every ancestor of theirs, cycles included.
 
     Only the ids that are new in a round are joined again; a round is written, so that the plan of the
-    next one does not grow.
+    next one does not grow.  Rounds go on until no new id appears; an error says that ``rounds`` were too few.
     """
     edges = canon.filter("parent_domain_id IS NOT NULL").select("id", F.col("parent_domain_id").alias("parent"))
     known_ids = canon.select("id")
     seen = materialize(wanted.select("id").distinct().join(known_ids, "id", "left_semi"), "closure")
     new = seen
-    for _ in range(rounds):
+    done = 0
+    while True:
         up = new.join(edges, "id").select(F.col("parent").alias("id")).distinct().join(known_ids, "id", "left_semi").join(seen, "id", "left_anti")
         new = materialize(up, "closure")
         if new.isEmpty():
-            break
+            return seen
+        if done == rounds:
+            raise RuntimeError(f"ancestors did not end in {rounds} rounds")
+        done += 1
         seen = materialize(seen.unionByName(new), "closure")
-    return seen
 
 
 def concentration(values: DataFrame, key: str, value: str, tops: tuple[int, ...] = (1, 10, 100, 1000)) -> DataFrame:

@@ -51,6 +51,14 @@ def test_gini_ties_and_children(spark):
     assert D.levels(D.canonical_domains(dom.limit(0))).count() == 0
 
 
+def test_ancestors_are_never_cut(spark):
+    canon = spark.createDataFrame([(i, i - 1 or None) for i in range(1, 6)], "id long, parent_domain_id long")
+    wanted = spark.createDataFrame([(5,)], "id long")
+    assert rows(D.ancestors(canon, wanted)) == [(i,) for i in range(1, 6)] == rows(D.ancestors(canon, wanted, rounds=4))
+    with pytest.raises(RuntimeError):
+        D.ancestors(canon, wanted, rounds=2)
+
+
 def test_near_duplicates_against_brute_force(spark):
     random.seed(4)
     words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(12) for b in range(12)]
