@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -15,11 +16,10 @@ from corpusloom.session import materialize
 MIN_PAGES = 8
 MIN_SHARE = 0.05
 FALSE_DISCOVERY = 0.01
-#: Documents outside a site from which on the comparison with them has power.
-MIN_OUTSIDE = 1000
 SALTS = 16
-#: Levels that p-values are counted in, so that the control of false discoveries needs no global sort.
+#: Levels that likelihood ratios are counted in, so that the control of false discoveries needs no global sort.
 P_LEVELS = 2000
+LEVELS_PER_UNIT = 16
 
 _DIGITS = re.compile(r"\d+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -59,57 +59,58 @@ def line_table(df: DataFrame, id_col: str = "id", site_col: str = "domain_id", t
 
 
 def excess_lines(lines: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, fdr: float = FALSE_DISCOVERY) -> DataFrame:
-    """``(site, hash, pages, site_pages, g2, g2_same)``: the lines in significant excess within their site.
-
-    ``g2`` is the log-likelihood ratio of the line's frequency within the site against that of an
-    ordinary line outside, which stands on one document of all; Benjamini-Hochberg control at ``fdr``
-    is taken over all (site, line) pairs, singletons included.  What is significant must also reach
-    ``min_pages`` and ``min_share`` of the site's documents that are not blank.  Where fewer than
-    MIN_OUTSIDE documents lie outside a site the comparison has no power, and these two decide alone.
-    ``g2_same`` compares with the same line outside, and tells lines of one site from lines of the
-    whole web; it decides nothing.
+    """``(site, hash, pages, site_pages, outside_pages, outside, g2)``: the lines in significant excess within their site.
+
+    ``g2`` is the signed log-likelihood ratio of the line's frequency on the pages of its site against the
+    frequency of the same line outside.  The outside are the pages of all other sites but those where the
+    line is itself on ``min_pages`` and ``min_share`` of the pages: a line that many sites repeat has no clean
+    background there.  To it come as many pages as the site has, on which the line is as frequent as an
+    ordinary one, that is on one page of all; so a line of every site, or a corpus of one site, has one too.
+    Every (site, line) on at least ``min_pages`` pages is a hypothesis; Benjamini-Hochberg control at
+    ``fdr`` decides which ratios are significant, and the stated bounds are checked after it.  A line that is
+    about as frequent outside, below the bounds, is thereby no excess of the site.
     """
     spark = lines.sparkSession
     sizes = lines.filter(~F.col("blank")).groupBy("site").agg(F.count("*").alias("site_pages"))
+    total = sizes.agg(F.sum("site_pages")).first()[0] or 0
+    if not total:
+        return spark.createDataFrame([], "site string, hash long, pages long, site_pages long, outside_pages double, outside double, g2 double")
     pairs = lines.select("site", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("site", "hash").agg(F.count("*").alias("pages"))
     pairs = materialize(pairs, "site-lines")
-    everywhere = pairs.groupBy("hash").agg(F.sum("pages").alias("all_pages"))
-    tests = pairs.count()
-    total_pages = sizes.agg(F.sum("site_pages")).first()[0] or 0
-    if not tests or not total_pages:
-        return spark.createDataFrame([], "site string, hash long, pages long, site_pages long, g2 double, g2_same double")
-    # A pair on one page only is never in excess: its p-value enters the control as 1.
     # Sites are skewed, so that their sizes are joined by site and a part of the line's hash.
     spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = pairs.filter("pages >= 2").withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(spread, ["site", "salt"]).drop("salt").join(everywhere, "hash")
-    outside = F.greatest(F.lit(float(total_pages)) - F.col("site_pages"), F.lit(1.0))
-    ordinary = F.lit(1.0 / (float(total_pages) + 1.0))
-    scored = rest.withColumn("g2", _against_rate(F.col("pages").cast("double"), F.col("site_pages").cast("double"), ordinary))
-    scored = scored.withColumn("g2_same", _g2(F.col("pages").cast("double"), F.col("site_pages").cast("double"), (F.col("all_pages") - F.col("pages")).cast("double"), outside))
-    # p of a chi-square with one degree of freedom is below exp(-g2 / 2): that bound is used, in levels of its logarithm.
-    scored = scored.withColumn("level", F.when(F.col("g2") > 0, F.least(F.floor(F.col("g2") * 4), F.lit(P_LEVELS - 1))).otherwise(F.lit(0)).cast("int"))
-    counts = {r["level"]: r["n"] for r in scored.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    cut, seen = P_LEVELS, 0
-    for level in range(P_LEVELS - 1, 0, -1):
-        seen += counts.get(level, 0)
-        if seen and 2.718281828459045 ** (-level / 8) <= fdr * seen / tests:
+    tested = pairs.filter(F.col("pages") >= min_pages).withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")).join(spread, ["site", "salt"]).drop("salt")
+    tested = materialize(tested.withColumn("bound", F.col("pages") >= F.col("site_pages") * F.lit(min_share)), "tested-lines")
+    # A line is tested on few sites but may stand on pages of all: both sums are combined on the map side.
+    everywhere = pairs.join(tested.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.sum("pages").alias("all_pages"))
+    repeated = tested.groupBy("hash").agg(F.sum(F.when(F.col("bound"), F.col("pages")).otherwise(0)).alias("bound_pages"), F.sum(F.when(F.col("bound"), F.col("site_pages")).otherwise(0)).alias("bound_sizes"))
+    own = lambda c: F.when(F.col("bound"), F.lit(0)).otherwise(F.col(c))  # noqa: E731  (a bound pair is in the sums already)
+    ordinary = F.col("site_pages") / F.lit(float(total) + 1.0)
+    scored = tested.join(everywhere.join(repeated, "hash"), "hash")
+    scored = scored.withColumn("outside_pages", (F.col("all_pages") - F.col("bound_pages") - own("pages")) + ordinary).withColumn("outside", F.lit(float(total)) - F.col("bound_sizes") - own("site_pages") + F.col("site_pages"))
+    scored = scored.withColumn("g2", _g2(F.col("pages").cast("double"), F.col("site_pages").cast("double"), F.col("outside_pages"), F.col("outside")))
+    # Ratios are counted in levels, so that the control needs no global sort; a level's p-value is that of its lower end.
+    level = F.when(F.col("g2") > 0, F.least(F.floor(F.col("g2") * LEVELS_PER_UNIT), F.lit(P_LEVELS - 1))).otherwise(F.lit(0)).cast("int")
+    scored = materialize(scored.withColumn("level", level), "scored-lines")
+    cut = significant_level({r["level"]: r["n"] for r in scored.groupBy("level").agg(F.count("*").alias("n")).collect()}, fdr)
+    return scored.filter((F.col("level") >= cut) & F.col("bound")).select("site", "hash", "pages", "site_pages", "outside_pages", "outside", "g2")
+
+
+def significant_level(counts: dict[int, int], fdr: float) -> int:
+    """The lowest level from which all are significant by Benjamini-Hochberg control; ``counts`` has the tests of each level."""
+    tests, cut, seen = sum(counts.values()), P_LEVELS, 0
+    for level in sorted((x for x in counts if x > 0), reverse=True):
+        seen += counts[level]
+        # one-sided tail of a chi-square with one degree of freedom
+        if math.erfc(math.sqrt(level / LEVELS_PER_UNIT / 2)) / 2 <= fdr * seen / tests:
             cut = level
-    untested = F.col("site_pages") > F.lit(float(total_pages) - MIN_OUTSIDE)
-    keep = ((F.col("level") >= cut) | untested) & (F.col("pages") >= min_pages) & (F.col("pages") >= F.col("site_pages") * F.lit(min_share))
-    return scored.filter(keep).select("site", "hash", "pages", "site_pages", "g2", "g2_same")
+    return cut
 
 
 def _part(k, expected):
     return F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
 
 
-def _against_rate(a, n, rate):
-    """Signed log-likelihood ratio of a of n against a fixed rate."""
-    a = F.least(a, n)
-    g = F.lit(2.0) * (_part(a, n * rate) + _part(n - a, n * (1 - rate)))
-    return F.when(a / n >= rate, g).otherwise(-g)
-
-
 def _g2(a, n, b, m):
     """Signed log-likelihood ratio of a of n against b of m; positive if a / n is the larger share."""
     a, b = F.least(a, n), F.least(b, m)

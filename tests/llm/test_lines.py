@@ -61,3 +61,30 @@ def test_empty_single_and_long(spark):
     long = "\n".join(["word " * 20] * 20_000)
     assert L.found(frame(spark, [(i, 1, long if i == 0 else "word " * 20) for i in range(8)])).count() == 20_000 + 7
     assert rows(L.found(frame(spark, [(i, 9, None) for i in range(9)]))) == []
+
+
+def test_the_false_discovery_control_decides(spark):
+    """A line as frequent outside, below the bounds there, is no excess; without the control it would be one."""
+    rng = random.Random(8)
+    data, i = [], 0
+    for site in range(40):
+        for k in range(150):
+            text = [f"own {site} {chr(97 + k % 26)}{chr(97 + k // 26)}"]
+            if k < (8 if site == 0 else 7):  # 5.3 % of the pages of site 0, 4.7 % of all others
+                text.append("back to top")
+            if site == 1 and k < 60:
+                text.append("a line of this site")
+            rng.shuffle(text)
+            data.append((i, site, "\n".join(text)))
+            i += 1
+    lines = L.line_table(frame(spark, data))
+    got = {(r.site, r.pages) for r in L.excess_lines(lines).collect()}
+    assert got == {("1", 60)}
+    assert {(r.site, r.pages) for r in L.excess_lines(lines, fdr=1.0).collect()} == {("1", 60), ("0", 8)}
+
+
+def test_significant_level():
+    assert L.significant_level({}, 0.01) == L.P_LEVELS
+    assert L.significant_level({0: 5, 3: 2}, 0.01) == L.P_LEVELS
+    assert L.significant_level({0: 90, 1000: 10}, 0.01) == 1000
+    assert L.significant_level({0: 5, 9: 2}, 1.0) == 9
