@@ -1,10 +1,11 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
 Passages become TF-IDF vectors over hashed words and word pairs; a distributed randomised singular
-value decomposition gives a latent space, in which every document passage is compared with every
-passage of the evaluation items by cosine.  Candidates are then checked word by word, for a run of words
-that both hold.  Paraphrases are looked for by a long common subsequence, with every pair of passages
-that shares enough words, whatever its cosine.
+value decomposition gives a latent space.  The passages of the evaluation items are indexed there in
+cells around centroids, and each document passage looks for candidates by cosine in the cells next to it.  Only
+candidates are compared word by word, for a run of words that both hold.  Paraphrases are looked for by a
+long common subsequence, with every pair of passages that shares enough words, whatever its cosine,
+and must hold the names and numbers that may answer the item's question.
 """
 
 from __future__ import annotations
@@ -20,20 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrow import chunks, map_batches
+from corpusloom.session import materialize
 
 #: Words that must stand consecutively in both texts.
 RUN = 12
-#: Document passages of PASSAGE words start every RUN words, item passages of ITEM words every ITEM - RUN;
-#: so each run of RUN words lies in a passage of either kind.
-PASSAGE = 24
+#: Passages of ITEM words start every STEP words, in documents as in items, so that each run of RUN words lies in one.
 ITEM = 16
-BUCKETS = 1 << 15
-RANK = 64
+STEP = ITEM - RUN
+#: Words of a document in which a paraphrase of an item passage must lie.
+PASSAGE = 24
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
+RANK = 256
 #: Document passages that the latent space is fitted on at most; every passage is indexed.
 SAMPLE_PASSAGES = 60_000
 SAMPLE_PARTS = 4
 #: Cosine from which a pair of passages is a candidate.
-CANDIDATE = 0.30
+CANDIDATE = 0.45
+#: Item passages to a cell of the index, cells that each is put in, and cells that a document passage looks into.
+CELL = 48
+ASSIGNED = 2
+PROBES = 8
+#: Share of a passage's names and numbers, those of its question left out, that a paraphrase must hold.
+ANSWER = 0.5
 #: Share of the item passage that a common subsequence with PASSAGE words of a document must cover for a paraphrase.
 PARAPHRASE = 0.8
 #: Words of an item passage, those in the fewest item passages, by which paraphrase candidates are met; at most RUN.
@@ -75,10 +85,10 @@ class Tokens:
 
     def features(self) -> np.ndarray:
         """Two buckets for each word: its own, and that of the pair it begins (-1 at the end of a text)."""
-        one = (_scramble(self.hash) >> np.uint64(49)).astype(np.int64)
+        one = (_scramble(self.hash) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         two = np.full(len(one), -1, np.int64)
         if len(one) > 1:
-            two[:-1] = (_scramble(_scramble(self.hash[:-1]) + self.hash[1:]) >> np.uint64(49)).astype(np.int64)
+            two[:-1] = (_scramble(_scramble(self.hash[:-1]) + self.hash[1:]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         last = (self.start[1:] - 1)[self.size > 0]
         two[last] = -1
         return np.stack([one, two], axis=1)
@@ -140,19 +150,29 @@ class Latent:
     singular: np.ndarray
 
     def vectors(self, tok: Tokens, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Unit vectors of passages; a pair counts where both words lie in the passage."""
-        feats = tok.features()
+        """Unit vectors of passages that start at a multiple of STEP in their text; a pair counts where it begins in the passage."""
         rank = self.projection.shape[1]
-        out = np.zeros((len(first), rank), np.float32)
-        if len(first):
-            one = np.zeros((len(feats) + 1, rank), np.float32)
-            np.cumsum(self.projection[feats[:, 0]], axis=0, out=one[1:])
-            two = np.zeros_like(one)
-            pairs = self.projection[feats[:, 1]]
-            pairs[feats[:, 1] < 0] = 0
-            np.cumsum(pairs, axis=0, out=two[1:])
-            out = one[last] - one[first] + two[last - 1] - two[first]
-            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        if not len(first):
+            return np.zeros((0, rank), np.float32)
+        # sums of STEP words each, from the start of each text on; a passage is a few of them
+        blocks = -(-tok.size // STEP)
+        before = np.concatenate(([0], np.cumsum(blocks)))
+        start = np.repeat(tok.start[:-1], blocks) + (np.arange(before[-1]) - np.repeat(before[:-1], blocks)) * STEP
+        table = np.concatenate((self.projection, np.zeros((1, rank), np.float32)))  # -1: no pair
+        feats, sums = tok.features(), np.zeros((len(start) + 1, rank), np.float32)
+        for lo in range(0, len(start), BLOCK):
+            hi = min(lo + BLOCK, len(start))
+            words = slice(int(start[lo]), int(start[hi]) if hi < len(start) else len(feats))
+            each = table[feats[words, 0]]
+            each += table[feats[words, 1]]
+            sums[lo:hi] = np.add.reduceat(each, start[lo:hi] - start[lo], axis=0)
+        text = np.searchsorted(tok.start, first, side="right") - 1
+        at = before[text] + (first - tok.start[text]) // STEP
+        n = -(-(last - first) // STEP)
+        out = sums[at]
+        for k in range(1, int(n.max())):
+            out += sums[np.where(k < n, at + k, len(start))]
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
         return out
 
 
@@ -162,7 +182,7 @@ def _products(texts: list[str], idf: np.ndarray, basis: np.ndarray) -> np.ndarra
     for a, b in chunks(texts, 500_000):
         tok = Tokens(texts[a:b])
         feats = tok.features()
-        _, first, last = tok.windows(PASSAGE, PASSAGE)
+        _, first, last = tok.windows(ITEM, ITEM)
         if not len(first):
             continue
         n = last - first
@@ -174,12 +194,22 @@ def _products(texts: list[str], idf: np.ndarray, basis: np.ndarray) -> np.ndarra
         norm = np.sqrt(np.bincount(owner, weights=w * w))
         w = w / norm[owner]
         starts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
-        y = np.add.reduceat(basis[f] * w[:, None], starts, axis=0)
-        for j in range(basis.shape[1]):
-            out[:, j] += np.bincount(f, weights=w * y[owner, j], minlength=BUCKETS)
+        y = np.concatenate([np.add.reduceat(basis[f[i:j]] * w[i:j, None], starts[lo:hi] - i, axis=0) for lo, hi, i, j in _groups(starts, len(f))]).astype(np.float32)
+        order = np.argsort(f, kind="stable")
+        f, w, owner = f[order], w[order].astype(np.float32), owner[order]
+        for lo in range(0, len(f), BLOCK * 32):
+            own = slice(lo, lo + BLOCK * 32)
+            heads = np.concatenate(([0], np.flatnonzero(np.diff(f[own])) + 1))
+            out[f[own][heads]] += np.add.reduceat(y[owner[own]] * w[own, None], heads, axis=0)
     return out
 
 
+def _groups(starts: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
+    """BLOCK passages at a time, as ranges of passages and of their features."""
+    ends = [*range(0, len(starts), BLOCK), len(starts)]
+    return [(lo, hi, int(starts[lo]), int(starts[hi]) if hi < len(starts) else size) for lo, hi in zip(ends, ends[1:])]
+
+
 def fit_latent(docs: DataFrame, items: list[str], rank: int = RANK, sample: int = SAMPLE_PASSAGES) -> Latent:
     """Randomised singular value decomposition of TF-IDF passages, by products with the matrix only.
 
@@ -190,9 +220,9 @@ def fit_latent(docs: DataFrame, items: list[str], rank: int = RANK, sample: int
     df = document_frequency(docs)
     passages, seen = int(df[-1]), df[:-1]
     idf = np.log((passages + 1) / (seen + 1)) + 1
-    part = min(1.0, sample / max(passages / 2, 1))
+    part = min(1.0, sample * ITEM / max(passages * RUN, 1))
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    few = picked.repartition(SAMPLE_PARTS, "doc_id")
+    few = materialize(picked, "latent-sample").repartition(SAMPLE_PARTS, "doc_id")
     basis = np.random.default_rng(7).standard_normal((BUCKETS, rank + 8))
     for turn in range(3):
         basis, _ = np.linalg.qr(basis)
@@ -211,7 +241,10 @@ def fit_latent(docs: DataFrame, items: list[str], rank: int = RANK, sample: int
             basis = total
     values, rotation = np.linalg.eigh((basis.T @ total + total.T @ basis) / 2)
     top = np.argsort(-values)[:rank]
-    return Latent((idf[:, None] * (basis @ rotation[:, top])).astype(np.float32), np.sqrt(np.maximum(values[top], 0)))
+    singular = np.sqrt(np.maximum(values[top], 0))
+    top, singular = top[singular > 1e-6 * singular.max(initial=1e-9)], singular[singular > 1e-6 * singular.max(initial=1e-9)]
+    # every direction counts alike: what all texts of a language share would else make them all near each other
+    return Latent((idf[:, None] * (basis @ rotation[:, top]) / singular).astype(np.float32), singular)
 
 
 @dataclass
@@ -224,11 +257,45 @@ class ItemIndex:
     items: list[list[int]]
     rare: tuple[np.ndarray, np.ndarray]
     need: np.ndarray
+    facts: np.ndarray
+    centroids: np.ndarray
+    cells: list[np.ndarray]
+
+
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_FACT = re.compile(r"\b[^\W\d_a-z]\w+|\d[\d.,]*")
+
+
+def fact_words(text: str) -> set[str]:
+    """Words of the names and numbers of an item's passage, which may answer its question; words of the question are none.
+
+    The question is the last sentence if it ends in a question mark; a capital at the start of a sentence makes no name.
+    """
+    parts = _SENTENCE.split(text.strip())
+    asked = set(words_of(parts.pop())) if parts[-1].rstrip(' "»”').endswith("?") else set()
+    found = {w for p in parts for m in _FACT.finditer(p) if m.start() > 0 or m.group()[0].isdigit() for w in words_of(m.group())}
+    return found - asked
+
+
+def cells_of(vectors: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Centroids of unit vectors, and the vectors that lie in each cell: each in those of its ASSIGNED nearest centroids."""
+    k = max(1, len(vectors) // CELL)
+    if k == 1:
+        return vectors[:1].copy(), [np.arange(len(vectors))]
+    centroids = vectors[np.random.default_rng(7).choice(len(vectors), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = (vectors @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, near, vectors)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), centroids).astype(np.float32)
+    near = np.argpartition(-(vectors @ centroids.T), min(ASSIGNED, k) - 1, axis=1)[:, :ASSIGNED]
+    return centroids, [np.flatnonzero((near == c).any(axis=1)) for c in range(k)]
 
 
 def index_items(ids: list[int], texts: list[str], latent: Latent) -> ItemIndex:
     tok = Tokens(texts)
-    text, first, last = tok.windows(ITEM, ITEM - RUN)
+    text, first, last = tok.windows(ITEM, STEP)
     vectors, runs = latent.vectors(tok, first, last), tok.runs()
     keep: dict[bytes, int] = {}
     rows, items = [], []
@@ -241,13 +308,18 @@ def index_items(ids: list[int], texts: list[str], latent: Latent) -> ItemIndex:
             rows.append(k)
             items.append([])
         items[keep[key]].append(ids[t])
-    width = ITEM - RUN + 1
+    width = STEP + 1
     table = np.zeros((len(rows), width), np.uint64)
     for j, k in enumerate(rows):
         n = min(width, last[k] - RUN + 1 - first[k])
         table[j, : max(n, 0)] = runs[first[k] : first[k] + max(n, 0)]
     kept = words[rows]
-    return ItemIndex(vectors[rows], table, kept, items, rare_words(kept), np.ceil(PARAPHRASE * (kept != 0).sum(axis=1) - 1e-9).astype(np.int64))
+    facts = np.zeros(kept.shape, bool)
+    named = [Tokens([" ".join(sorted(fact_words(t)))]).hash for t in texts]
+    for j, k in enumerate(rows):
+        facts[j] = np.isin(kept[j], named[text[k]]) & (kept[j] != 0)
+    need = np.ceil(PARAPHRASE * (kept != 0).sum(axis=1) - 1e-9).astype(np.int64)
+    return ItemIndex(vectors[rows], table, kept, items, rare_words(kept), need, facts, *cells_of(vectors[rows]))
 
 
 def rare_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +355,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1].astype(np.int64)
 
 
-def _paraphrases(tok: Tokens, latent: Latent, index: ItemIndex) -> list[tuple[int, int, str, float, int]]:
+def _paraphrases(tok: Tokens, latent: Latent, index: ItemIndex) -> list[tuple[int, int, str, float, int, float | None]]:
     """As ``_search``: every item passage of which PASSAGE consecutive words of a text, wherever they begin, hold PARAPHRASE in order.
 
     No pair that qualifies is left out.  Each such run of words lies in one window of PASSAGE + RUN words, and an
@@ -326,8 +398,18 @@ def _paraphrases(tok: Tokens, latent: Latent, index: ItemIndex) -> list[tuple[in
     w, j, best, begin = map(np.concatenate, zip(*found_pairs)) if found_pairs else [np.zeros(0, np.int64)] * 4
     if not len(w):
         return []
+    # the answer check: names and numbers of the item passage that stand among the PASSAGE words
+    at = begin[:, None] + np.arange(PASSAGE)
+    own = np.where(at < last[w][:, None], hashes[at], 0)
+    facts = index.facts[j].sum(axis=1)
+    held = ((own[:, :, None] == index.words[j][:, None, :]).any(axis=1) & index.facts[j]).sum(axis=1)
+    share = held / np.maximum(facts, 1)
+    keep = (facts == 0) | (share >= ANSWER)
+    w, j, best, begin, facts, share = w[keep], j[keep], best[keep], begin[keep], facts[keep], share[keep]
+    start = tok.start[text[w]]
+    begin = start + (begin - start) // STEP * STEP
     cosine = np.einsum("ij,ij->i", latent.vectors(tok, begin, np.minimum(begin + PASSAGE, last[w])), index.vectors[j])
-    return [(int(text[x]), int(y), "paraphrase", float(c), int(m)) for x, y, c, m in zip(w, j, cosine, best)]
+    return [(int(text[x]), int(y), "paraphrase", float(c), int(m), float(a) if n else None) for x, y, c, m, a, n in zip(w, j, cosine, best, share, facts)]
 
 
 def _slices(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -337,83 +419,101 @@ def _slices(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cut, cut[1:]) if b > a]
 
 
-def _search(texts: list[str], latent: Latent, index: ItemIndex, by_run: tuple[np.ndarray, np.ndarray], candidate: float, paraphrases: bool) -> list[tuple[int, int, str, float, int]]:
-    """(text, item passage, kind, cosine, words in common) of each leak among some texts."""
+def candidates(vectors: np.ndarray, index: ItemIndex, least: float, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, item passages and cosines of the pairs that the search of the cells next to each passage meets, each once."""
+    near = vectors @ index.centroids.T
+    if near.shape[1] > probes:
+        ranked = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+        asked = np.zeros(near.shape, bool)
+        np.put_along_axis(asked, ranked, True, axis=1)
+    else:
+        asked = np.ones(near.shape, bool)
+    rows, cols, values = [], [], []
+    for c, members in enumerate(index.cells):
+        own = np.flatnonzero(asked[:, c])
+        if len(own) and len(members):
+            cosine = vectors[own] @ index.vectors[members].T
+            r, m = np.nonzero(cosine >= least)
+            rows.append(own[r])
+            cols.append(members[m])
+            values.append(cosine[r, m])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    row, col, value = map(np.concatenate, (rows, cols, values))
+    _, once = np.unique(row * len(index.items) + col, return_index=True)  # a passage lies in several cells
+    return row[once], col[once], value[once]
+
+
+def _search(texts: list[str], latent: Latent, index: ItemIndex, candidate: float, paraphrases: bool) -> list[tuple[int, int, str, float, int, float | None]]:
+    """(text, item passage, kind, cosine, words in common, share of answers) of each leak among some texts."""
     tok = Tokens(texts)
-    text, first, last = tok.windows(PASSAGE, RUN)
-    out: list[tuple[int, int, str, float, int]] = []
+    text, first, last = tok.windows(ITEM, STEP)
+    out: list[tuple[int, int, str, float, int, float | None]] = []
     if not len(first) or not len(index.items):
         return out
-    vectors, runs = latent.vectors(tok, first, last), tok.runs()
-    keys, owners = by_run
-    padded = np.concatenate((runs, np.zeros(PASSAGE, np.uint64)))
-    hashes = np.concatenate((tok.hash, np.zeros(PASSAGE, np.uint64)))
+    vectors = latent.vectors(tok, first, last)
+    runs = np.concatenate((tok.runs(), np.zeros(ITEM, np.uint64)))
+    offsets = np.arange(STEP + 1)
     for lo in range(0, len(first), BLOCK):
-        part = slice(lo, min(lo + BLOCK, len(first)))
-        cosine = vectors[part] @ index.vectors.T
-        candidates = cosine >= candidate
-        own = padded[first[part][:, None] + np.arange(PASSAGE - RUN + 1)]
-        inside = first[part][:, None] + np.arange(PASSAGE - RUN + 1) + RUN <= last[part][:, None]
-        own = np.where(inside, own, 0)
-        # the exact check of the candidates: item passages that hold one of the passage's runs
-        left, right = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
-        row, col = np.nonzero((right > left) & (own != 0))
-        for r, c in zip(row, col):
-            for j in owners[left[r, c] : right[r, c]]:
-                if candidates[r, j]:
-                    out.append((int(text[lo + r]), int(j), "exact", float(cosine[r, j]), RUN))
+        row, col, cosine = candidates(vectors[lo : lo + BLOCK], index, candidate)
+        row = row + lo
+        # the exact check of the candidates: a run of RUN words that both passages hold
+        at = first[row][:, None] + offsets
+        own = np.where(at + RUN <= last[row][:, None], runs[at], 0)
+        same = ((own[:, :, None] == index.runs[col][:, None, :]) & (own[:, :, None] != 0)).any(axis=(1, 2))
+        out += [(int(text[r]), int(c), "exact", float(v), RUN, None) for r, c, v in zip(row[same], col[same], cosine[same])]
     if paraphrases:
         out += _paraphrases(tok, latent, index)
     return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", candidate: float = CANDIDATE, paraphrases: bool = True) -> DataFrame:
-    """``(doc_id, item_id, kind, cosine, words)``: each document and item that share a passage.
+    """``(doc_id, item_id, kind, cosine, words, answers)``: each document and item that share a passage.
 
     ``kind`` is ``exact`` where RUN consecutive words of the item stand in the document, else
     ``paraphrase`` where PASSAGE consecutive words of it share a common subsequence of PARAPHRASE of the
-    words of any item passage; ``words`` is the longest match seen, at least RUN for exact ones.  Rows with a null id or text
+    words of any item passage and holds ANSWER of its names and numbers; ``words`` is the longest match seen, at least
+    RUN for exact ones, and ``answers`` the largest share of names and numbers seen in a paraphrase (null if there
+    are none).  Exact matches come from the latent search only: a pair below the cosine ``candidate``, or in none of
+    the PROBES cells next to a document passage, is lost.  Rows with a null id or text
     take no part; texts of fewer than RUN words have no passage; ids that stand twice give one row.
-    Items are compared in slices of ITEM_SLICE, each document passage with every item passage.
+    The items are the stated query set, indexed in slices of ITEM_SLICE.
     """
     docs = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     rows = sorted({(r.item_id, r.text) for r in own.toLocalIterator()})
-    schema = "doc_id long, item_id long, kind string, cosine double, words long"
+    schema = "doc_id long, item_id long, kind string, cosine double, words long, answers double"
     if not rows:
         return docs.sparkSession.createDataFrame([], schema)
-    latent = fit_latent(docs, [t for _, t in rows][:ITEM_SLICE])
+    latent = fit_latent(docs, sorted({t for _, t in rows}))
     context = docs.sparkSession.sparkContext
     found_rows = None
     for lo in range(0, len(rows), ITEM_SLICE):
         part = rows[lo : lo + ITEM_SLICE]
         index = index_items([i for i, _ in part], [t for _, t in part], latent)
-        flat = index.runs.reshape(-1)
-        owner = np.repeat(np.arange(len(index.runs)), index.runs.shape[1] if index.runs.ndim == 2 else 1)
-        order = np.argsort(flat, kind="stable")
-        order = order[flat[order] != 0]
-        sent = context.broadcast((latent, index, (flat[order], owner[order])))
+        sent = context.broadcast((latent, index))
 
         def step(batch: pa.RecordBatch, sent=sent) -> dict[str, list]:
-            latent, index, by_run = sent.value
+            latent, index = sent.value
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             best: dict[tuple[int, int, str], list] = {}
             for a, b in chunks(texts, 300_000):
-                for t, j, kind, cosine, words in _search(texts[a:b], latent, index, by_run, candidate, paraphrases):
+                for t, j, kind, cosine, words, answers in _search(texts[a:b], latent, index, candidate, paraphrases):
                     for item in index.items[j]:
-                        x = best.setdefault((ids[a + t], item, kind), [cosine, words])
+                        x = best.setdefault((ids[a + t], item, kind), [cosine, words, answers])
                         x[0], x[1] = max(x[0], cosine), max(x[1], words)
-            out: dict[str, list] = {"doc_id": [], "item_id": [], "kind": [], "cosine": [], "words": []}
-            for (doc, item, kind), (cosine, words) in best.items():
-                for name, v in zip(out, (doc, item, kind, cosine, words)):
+                        x[2] = answers if x[2] is None else x[2] if answers is None else max(x[2], answers)
+            out: dict[str, list] = {"doc_id": [], "item_id": [], "kind": [], "cosine": [], "words": [], "answers": []}
+            for (doc, item, kind), (cosine, words, answers) in best.items():
+                for name, v in zip(out, (doc, item, kind, cosine, words, answers)):
                     out[name].append(v)
             return out
 
         rows_here = map_batches(docs, schema, step)
         found_rows = rows_here if found_rows is None else found_rows.unionByName(rows_here)
-    return found_rows.groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"), F.max("cosine").alias("cosine"), F.max("words").alias("words"))
+    return found_rows.groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind"), F.max("cosine").alias("cosine"), F.max("words").alias("words"), F.max("answers").alias("answers"))
 
 
 def found(documents: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """``(doc_id, item_id)`` of each document and item that share RUN consecutive words."""
+    """``(doc_id, item_id)`` of each document and item that share RUN consecutive words, among the candidates of the latent search."""
     return leaks(documents, items, paraphrases=False, **kw).filter("kind = 'exact'").select("doc_id", "item_id")

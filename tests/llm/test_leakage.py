@@ -128,3 +128,43 @@ def lcs_of(x, y):
         for j, q in enumerate(y):
             t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
     return t[-1][-1]
+
+
+def test_rows_come_from_the_latent_search_only(spark):
+    """Without candidates there is no row; recall of runs that stand alone in other text stays at 0.9 at least."""
+    docs, items = world()
+    d = spark.createDataFrame([(*r, 1, "c") for r in docs], DOCS)
+    i = spark.createDataFrame([(*r, 1) for r in items], ITEMS)
+    assert K.found(d, i, candidate=1.01).count() == 0
+    rng = random.Random(3)
+    vocab = [f"u{k}" for k in range(900)]
+    own = [(n, " ".join(rng.choices(vocab, k=60))) for n in range(120)]
+    alone, want = [], set()
+    for n in range(600):
+        words, item = rng.choices(vocab, k=50), rng.randrange(120)
+        a, at = rng.randrange(49), rng.randrange(51)
+        words[at:at] = own[item][1].split()[a : a + 12]
+        alone.append((n, " ".join(words)))
+        want.add((n, item))
+    frame = spark.createDataFrame([(*r, 1, "c") for r in alone], DOCS)
+    latent = K.fit_latent(frame.select("doc_id", "text"), [t for _, t in own])
+    index = K.index_items([n for n, _ in own], [t for _, t in own], latent)
+    assert len(index.cells) > K.PROBES
+    got = {(alone[t][0], x) for t, j, *_ in K._search([t for _, t in alone], latent, index, K.CANDIDATE, False) for x in index.items[j]}
+    assert got >= want & got and len(got & want) >= 0.9 * len(want)
+
+
+def test_paraphrases_must_hold_the_answers():
+    text = "In the spring the mayor Tolka Ravi opened 37 schools near the river of the old town. Who opened the schools near the river?"
+    assert K.fact_words(text) == {"tolka", "ravi", "37"}
+    assert K.fact_words("The town is old. 12 people came") == {"12"} and K.fact_words("") == set() and K.fact_words("Why Ravi?") == set()
+    rng = np.random.default_rng(0)
+    latent = K.Latent(rng.standard_normal((K.BUCKETS, 8)).astype(np.float32), np.ones(8))
+    index = K.index_items([1], [text], latent)
+    other = "yes " * 10
+
+    def kinds(changed):
+        return {kind for _, _, kind, *_ in K._search([other + changed + other], latent, index, -1.0, True)}
+
+    assert "paraphrase" in kinds("In the spring the mayor Tolka Ravi closed 37 schools near the river of the new town. ")
+    assert "paraphrase" not in kinds("In the spring the mayor Anna Miro opened 12 schools beside the river of the old town. ")
