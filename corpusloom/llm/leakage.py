@@ -32,10 +32,12 @@ STEP = ITEM - RUN
 PASSAGE = 24
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-RANK = 256
+RANK = 192
 #: Document passages that the latent space is fitted on at most; every passage is indexed.
 SAMPLE_PASSAGES = 60_000
 SAMPLE_PARTS = 4
+#: Pieces in which the partial products of the tasks are added up before one matrix goes to the driver.
+PIECES = 16
 #: Cosine from which a pair of passages is a candidate.
 CANDIDATE = 0.45
 #: Item passages to a cell of the index, cells that each is put in, and cells that a document passage looks into.
@@ -210,33 +212,46 @@ def _groups(starts: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
     return [(lo, hi, int(starts[lo]), int(starts[hi]) if hi < len(starts) else size) for lo, hi in zip(ends, ends[1:])]
 
 
+def _sum_of_products(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """``_products`` over all rows of ``docs``, added up on the workers in PIECES."""
+    sent = docs.sparkSession.sparkContext.broadcast((idf, basis))
+    height = BUCKETS // PIECES
+
+    def run(batches):
+        idf, basis = sent.value
+        total = np.zeros_like(basis)
+        for batch in batches:
+            total += _products(batch.column(1).to_pylist(), idf, basis)
+        pieces = [total[k * height : (k + 1) * height].tobytes() for k in range(PIECES)]
+        yield pa.RecordBatch.from_pydict({"piece": list(range(PIECES)), "m": pieces}, schema=pa.schema([("piece", pa.int32()), ("m", pa.binary())]))
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "m": [sum(np.frombuffer(m, np.float32) for m in rows["m"]).astype(np.float32).tobytes()]})
+
+    out = np.zeros_like(basis)
+    for r in docs.mapInArrow(run, "piece int, m binary").groupBy("piece").applyInPandas(add, "piece int, m binary").collect():
+        out[r.piece * height : (r.piece + 1) * height] = np.frombuffer(r.m, np.float32).reshape(height, -1)
+    sent.destroy()
+    return out
+
+
 def fit_latent(docs: DataFrame, items: list[str], rank: int = RANK, sample: int = SAMPLE_PASSAGES) -> Latent:
     """Randomised singular value decomposition of TF-IDF passages, by products with the matrix only.
 
     The weights come from all documents; the space is fitted on the item texts and on a sample of
-    about ``sample`` document passages at most.  Each of SAMPLE_PARTS tasks sends one matrix of fixed
-    size; nothing of the documents goes to the driver.
+    about ``sample`` document passages at most.  SAMPLE_PARTS tasks make partial products of fixed size,
+    whose sum goes to the driver; nothing of the documents does.
     """
     df = document_frequency(docs)
     passages, seen = int(df[-1]), df[:-1]
-    idf = np.log((passages + 1) / (seen + 1)) + 1
+    idf = (np.log((passages + 1) / (seen + 1)) + 1).astype(np.float32)
     part = min(1.0, sample * ITEM / max(passages * RUN, 1))
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
     few = materialize(picked, "latent-sample").repartition(SAMPLE_PARTS, "doc_id")
-    basis = np.random.default_rng(7).standard_normal((BUCKETS, rank + 8))
+    basis = np.random.default_rng(7).standard_normal((BUCKETS, rank + 8), np.float32)
     for turn in range(3):
-        basis, _ = np.linalg.qr(basis)
-        sent = basis.astype(np.float32)
-
-        def run(batches, sent=sent):
-            total = np.zeros((BUCKETS, sent.shape[1]))
-            for batch in batches:
-                total += _products(batch.column(1).to_pylist(), idf, sent)
-            yield pa.RecordBatch.from_pydict({"m": [total.astype(np.float32).tobytes()]}, schema=pa.schema([("m", pa.binary())]))
-
-        total = _products(items, idf, sent).astype(np.float64)
-        for r in few.mapInArrow(run, "m binary").collect():
-            total += np.frombuffer(r.m, np.float32).reshape(total.shape)
+        basis = np.linalg.qr(basis)[0]
+        total = _products(items, idf, basis) + _sum_of_products(few, idf, basis)
         if turn < 2:
             basis = total
     values, rotation = np.linalg.eigh((basis.T @ total + total.T @ basis) / 2)
