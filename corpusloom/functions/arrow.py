@@ -36,6 +36,24 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def map_partition(df: DataFrame, schema: str, step: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Apply ``step`` to all rows of each partition of ``df`` at once; partitions must be of bounded size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from corpusloom.session import ship
+
+    ship(df.sparkSession)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from step(pa.Table.from_batches(held).combine_chunks()).cast(target).to_batches(max_chunksize=10_000)
+
+    return df.mapInArrow(run, schema)
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` code points each."""
     start, size = 0, 0

@@ -65,3 +65,14 @@ def test_descendants_below_cycles(spark):
     tree = H.hierarchy(frame(spark, [(i, p, "x") for i, p in parents.items()]))
     got = {tuple(r) for r in H.all_descendants(tree).collect()}
     assert got == {(2, 3, 1), (2, 4, 2), (3, 4, 1), (2, 5, 3), (3, 5, 2), (4, 5, 1), (2, 6, 2), (3, 6, 1), (7, 8, 1), (10, 11, 1)}
+
+
+def test_peeling_in_one_task_and_in_many(spark, monkeypatch):
+    random.seed(11)
+    parents = {i: random.choice([None, 5, *range(max(1, i - 2), i + 1), i + 1]) for i in range(1, 90)}
+    edges = spark.createDataFrame([(i, p if p in parents else None) for i, p in parents.items()], "id long, parent long")
+    one = rows(H.peel(edges, 1))
+    monkeypatch.setattr(H, "ONE_TASK", 0)
+    assert rows(H.peel(edges, 2)) == one
+    got = {r.id: (r.root_id, r.depth, r.path) for r in H.found(frame(spark, [(i, p, "x") for i, p in parents.items()])).collect()}
+    assert got == brute(parents)
