@@ -20,6 +20,8 @@ JACCARD = 0.85
 ALL_JACCARD = 0.8
 HASHES, BANDS = 112, 14
 SEED = 73129
+#: Keys that the sets of one bucket are spread over.
+SPREAD = 8
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +67,16 @@ def verified(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return full.select("a", "b", value.alias("jaccard")).filter(F.col("jaccard") >= jaccard)
 
 
-def _parameters(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of the hash functions, derived from the seed."""
-    raw = np.frombuffer(b"".join(hashlib.sha256(f"{seed}:{i}".encode()).digest()[:16] for i in range(count)), dtype=">u8").astype(np.uint64).reshape(count, 2)
-    return raw[:, 0] | np.uint64(1), raw[:, 1]
+def _mixers(count: int, seed: int) -> np.ndarray:
+    """Seeds of the hash functions, from one generator."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, count, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray, mixer: np.uint64) -> np.ndarray:
+    """A permutation of 64-bit values for each mixer, by two rounds of shift and multiplication."""
+    x = (x ^ mixer) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 def minhash_bands(sets: DataFrame, hashes: int = HASHES, bands: int = BANDS, seed: int = SEED) -> DataFrame:
@@ -76,7 +84,7 @@ def minhash_bands(sets: DataFrame, hashes: int = HASHES, bands: int = BANDS, see
     rows = hashes // bands
 
     def step(batch: pa.RecordBatch) -> dict[str, list]:
-        a, b = _parameters(hashes, seed)
+        mixers = _mixers(hashes, seed)
         ids = batch.column(0).to_pylist()
         values = batch.column(1)
         flat = values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -84,7 +92,7 @@ def minhash_bands(sets: DataFrame, hashes: int = HASHES, bands: int = BANDS, see
         offsets = offsets - offsets[0]
         sig = np.empty((len(ids), hashes), np.uint64)
         for k in range(hashes):
-            sig[:, k] = np.minimum.reduceat(a[k] * flat + b[k], offsets[:-1])
+            sig[:, k] = np.minimum.reduceat(_mixed(flat, mixers[k]), offsets[:-1])
         out: dict[str, list] = {"set_id": [], "band": [], "bucket": []}
         for k in range(bands):
             part = sig[:, k * rows : (k + 1) * rows]
@@ -97,10 +105,16 @@ def minhash_bands(sets: DataFrame, hashes: int = HASHES, bands: int = BANDS, see
 
 
 def minhash_pairs(sets: DataFrame, jaccard: float = JACCARD, **kw) -> DataFrame:
-    """``(a, b, jaccard)`` of the pairs that share a bucket and reach the similarity; a probabilistic variant of ``similar_sets``."""
+    """``(a, b, jaccard)`` of the pairs that share a bucket and reach the similarity; a probabilistic variant of ``similar_sets``.
+
+    The sets of a bucket are spread over SPREAD keys on one side and copied to all on the other, so that
+    a bucket that very many sets share is no single task.
+    """
     bands = materialize(minhash_bands(sets, **kw), "bands")
-    left, right = bands.select(F.col("set_id").alias("a"), "band", "bucket"), bands.select(F.col("set_id").alias("b"), "band", "bucket")
-    return verified(left.join(right, ["band", "bucket"]).filter("a < b").select("a", "b").distinct(), sets, jaccard)
+    left = bands.select(F.col("set_id").alias("a"), "band", "bucket", F.pmod(F.xxhash64("set_id"), F.lit(SPREAD)).cast("int").alias("part"))
+    many = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("band", "bucket")
+    right = bands.join(many, ["band", "bucket"], "left_semi").select(F.col("set_id").alias("b"), "band", "bucket", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    return verified(left.join(right, ["band", "bucket", "part"]).filter("a < b").select("a", "b").distinct(), sets, jaccard)
 
 
 def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
