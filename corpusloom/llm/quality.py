@@ -1,13 +1,15 @@
 """Per-document text statistics, and the kind of each document: prose, list, table or junk.
 
-A Gaussian mixture is fitted by expectation-maximisation on standardised statistics of all
-documents; its components get their kind from inspected example texts.
+Raw statistics are taken of every line and every document.  A Gaussian mixture is fitted by
+expectation-maximisation on the standardised statistics of the lines of all documents; its components get their
+kind from inspected example texts, and the kind of a document is what most of its characters belong to.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,150 +31,150 @@ COMMON = frozenset(
     ).split()
 )
 KINDS = ("prose", "list", "table", "junk")
-#: Statistics the mixture is fitted on; the others are reported only.
-FITTED = ("prose_share", "list_share", "table_share", "junk_share", "common_share", "symbol_ratio", "digit_ratio", "vowel_ratio")
+#: Statistics of a line that the mixture is fitted on, with the value that is the top level of each; what is above counts as this.
+FITTED = {
+    "log_words": 4.5, "common_share": 1.0, "distinct_common": 8.0, "ends_with_stop": 1.0, "symbol_ratio": 0.5, "digit_ratio": 1.0, "vowel_ratio": 1.0, "mean_word_length": 16.0,
+    "separators": 1.0, "bullet": 1.0, "colons": 1 / 3, "capitals": 1.0, "log_longest": 5.0, "numbers": 1.0, "distinct_words": 1.0,
+}
+TOPS = np.array(list(FITTED.values()))
+#: Levels that each statistic is rounded to, so that equal lines share a cell and the mixture is fitted on counted cells.
+LEVELS = 16
+#: A document is of a kind that makes up this share of it.
 SHARE = 2 / 3
 
-_BULLET = re.compile(r"\s*(?:[-–—*•·‣▪+o]|\(?\d{1,4}[.)]|\(?[a-zA-Z]{1,2}[.)]|\[\s*[xX]?\s*\])\s+(?=\S)")
-_MARKS = re.compile(r"(?:(?<=\s)|^)(?:[-*•‣▪]|\d{1,4}[.)]|[a-zA-Z]{1,2}\)|\[\s*[xX]?\s*\])\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
-_CELL = re.compile(r"\s*[\t|;]\s*|\s+[/·›]\s+|\s{3,}|,(?=\S)")
-_FIELD = re.compile(r"(?:^|[|;\n])\s*[^\W\d_]+(?: [^\W\d_]+){0,2}\s*:\s*[^:|;\n]*(?=$|[|;\n])")
-_CODE = re.compile(r"&#?\w{1,8};|%[0-9A-Fa-f]{2}|\\u00\w{0,2}|</?\w[^<>]*>|[{}<>=\\^~_$@#+*§¬&\[\]]")
-_CODE_MARK = re.compile(r"[{}<>=\\^~_$@#§¬&]|%[0-9A-Fa-f]{2}")
-_STRONG = re.compile(r"[{}]|</?\w|&#?\w{1,8};|\\\\u00")
-_BLOB = re.compile(r"(?=\S*\d)(?=\S*[A-Z])(?=\S*[a-z])[\w+/=-]{20,}")
-_NUMBER = re.compile(r"[^\w\s]?\d[\d.,/:%-]*")
-_STOP = re.compile(r"[.!?…:;»”\"'—]\s*$")
-_DIGIT = re.compile(r"\d")
-VOWELS = "aeiouy"
-
-
-def line_kind(line: str) -> tuple[str, list[str], int]:
-    """Kind of one line that is not blank, its words, and how many of these are common words."""
-    words = _WORD.findall(line.lower())
-    common = sum(w in COMMON for w in words)
-    return _line_kind(line, words, common), words, common
-
-
-def vowel_ratio(words: list[str]) -> float:
-    """Plain vowels over plain letters; 1 if there is no plain letter."""
-    text = "".join(words)
-    letters = sum(map(text.count, "abcdefghijklmnopqrstuvwxyz"))
-    return sum(map(text.count, VOWELS)) / letters if letters else 1.0
-
-
-def _line_kind(line: str, words: list[str], common: int) -> str:
-    n = len(words)
-    marked = _CODE_MARK.search(line) is not None
-    # A keyword string may repeat one common word; a sentence has several of them, or stops.
-    varied = n < 8 or common * 4 >= n or len(COMMON.intersection(words)) >= 2 or "," in line or _STOP.search(line) is not None
-    if n >= 5 and common * 5 >= n and varied and not marked:
-        return "prose"
-    tokens = line.split()
-    size = sum(map(len, tokens))
-    code = marked and (len(_STRONG.findall(line)) >= 2 if common * 3 <= n else False)
-    if code or (marked and common * 6 <= n and sum(map(len, _CODE.findall(line))) > 0.05 * size) or (len(tokens) <= 2 and _BLOB.search(line)):
-        return "junk"
-    if ":" in line and common * 4 <= n and sum(map(len, _FIELD.findall(line))) >= 0.8 * len(line.strip()):
-        return "table"
-    numbers = sum(map(bool, map(_NUMBER.fullmatch, tokens)))
-    if numbers == len(tokens) and numbers >= 3 and not re.search(r"[\t|;.,/%:]", line):
-        return "junk"
-    body = line.strip()
-    if mark := _BULLET.match(body):
-        body = body[mark.end() :]
-    cells = [c for c in _CELL.split(body.strip("|")) if c]
-    if len(cells) >= 3 and len(tokens) <= 4 * len(cells) and common * 8 <= n:
-        return "list" if "›" in line else "table"
-    if (n >= 3 or sum(map(len, words)) >= 12) and vowel_ratio(words) < 0.25:
-        return "junk"
-    marks = len(_MARKS.findall(line))
-    numbers -= bool(_NUMBER.fullmatch(tokens[0])) or body != line.strip()
-    if numbers >= 2 and numbers * 3 >= len(tokens) and common * 8 <= n and marks < 3:
-        return "table"
-    if n and common * 8 >= n and varied and (n >= 5 or _STOP.search(line)):
-        return "prose"
-    if marks >= 3 and len(tokens) <= 6 * marks and common * 8 < n:
-        return "list"
-    if len(body.split()) <= 6:
-        return "prose" if common and _STOP.search(line) else "list"
-    if common * 12 < n or not varied:
-        return "list" if numbers and sum(t[0].isupper() for t in tokens) * 3 >= len(tokens) else "junk"
-    return "prose"
+_SEPARATOR = re.compile(r"\t|\||;|\s[/·›]\s|\s{3,}|,(?=\S)")
+_SYMBOL = re.compile(r"[{}<>=\\^~_$@#§¬&*+%\[\]]")
+_STOP = re.compile(r"[.!?…»”\"'—]\s*$")
+_BULLET = re.compile(r"\s*(?:[-–—*•·‣▪+o]|\(?\d{1,4}[.)]|\(?[a-zA-Z]{1,2}[.)]|\[\s*[xX]?\s*\])\s+(?=\S)")
+_VOWELS = b"aeiou"
 
 
-def statistics(text: str) -> dict[str, float]:
-    """All statistics of one text; zeros for a text without any visible character."""
-    share = dict.fromkeys(KINDS, 0)
-    n_lines = stops = n_common = 0
-    words: list[str] = []
+def _line(line: str) -> tuple[tuple[float, ...], int, int, int, int, int]:
+    """The FITTED statistics of a line that is not blank; its words, letters, digits, common words and plain vowels."""
+    words, tokens, body = _WORD.findall(line.lower()), line.split(), line.strip()
+    n, m, joined = len(words), len(tokens), "".join(words)
+    letters, digits = len(joined), sum(map(str.isdigit, body))
+    size = max(sum(map(len, tokens)), 1)
+    own = [w for w in words if w in COMMON]
+    plain = joined.encode("ascii", "ignore")
+    vowels = len(plain) - len(plain.translate(None, _VOWELS))
+    numbers = sum(t[0].isdigit() or t[-1].isdigit() for t in tokens)
+    return (
+        np.log1p(n), len(own) / max(n, 1), len(set(own)), 1.0 if _STOP.search(line) else 0.0, len(_SYMBOL.findall(body)) / size, digits / size, vowels / len(plain) if plain else 0.45, letters / max(n, 1),
+        len(_SEPARATOR.findall(body)) / m, 1.0 if _BULLET.match(line) else 0.0, body.count(":") / m, sum(t[0].isupper() for t in tokens) / m, np.log(max(map(len, tokens))), numbers / m, len(set(words)) / max(n, 1),
+    ), n, letters, digits, len(own), vowels
+
+
+def _levels(rows: list[tuple[float, ...]]) -> np.ndarray:
+    """Statistics of lines in LEVELS."""
+    values = np.array(rows, float).reshape(len(rows), len(FITTED))
+    return np.rint(np.clip(values / TOPS, 0, 1) * LEVELS).astype(np.uint8)
+
+
+#: Statistics of a document that are reported beside its shares.
+STATISTICS = ("chars", "words", "lines", "mean_word_length", "symbol_ratio", "digit_ratio", "line_stop_share", "common_share", "vowel_ratio")
+
+
+def _document(text: str, lines: dict[str, tuple]) -> tuple[dict[str, float], list[tuple[float, ...]], list[int]]:
+    """The STATISTICS of a text, and the statistics and characters of its lines; ``lines`` remembers lines met before."""
+    vectors, chars = [], []
+    words = letters = digits = common = vowels = stops = plain = 0
     for line in text.splitlines():
         if not line or line.isspace():
             continue
-        kind, own, common = line_kind(line)
-        share[kind] += len(line.strip())
-        n_lines += 1
-        stops += _STOP.search(line) is not None
-        words += own
-        n_common += common
+        known = lines.get(line)
+        if known is None:
+            if len(lines) >= MEMO:
+                lines.clear()
+            known = lines[line] = _line(line)
+        vector, n, a, d, c, v = known
+        vectors.append(vector)
+        chars.append(len(line.strip()))
+        words, letters, digits, common, vowels, stops = words + n, letters + a, digits + d, common + c, vowels + v, stops + vector[3]
     size = max(len("".join(text.split())), 1)
-    letters = sum(map(len, words))
-    digits = len(_DIGIT.findall(text))
-    total = max(sum(share.values()), 1)
-    return {
-        "chars": len(text), "words": len(words), "lines": n_lines, "mean_word_length": letters / max(len(words), 1), "symbol_ratio": max(0.0, 1 - (letters + digits) / size) if n_lines else 0.0, "digit_ratio": digits / size,
-        "line_stop_share": stops / max(n_lines, 1), "common_share": n_common / max(len(words), 1), "vowel_ratio": vowel_ratio(words) if words else 0.0,
-    } | {f"{k}_share": share[k] / total for k in KINDS}
+    plain = sum(c.isascii() and c.isalpha() for c in text) if vowels else 0
+    values = (len(text), words, len(vectors), letters / max(words, 1), max(0.0, 1 - (letters + digits) / size) if vectors else 0.0, digits / size, stops / max(len(vectors), 1), common / max(words, 1), vowels / plain if plain else 0.0)
+    return dict(zip(STATISTICS, map(float, values))), vectors, chars
+
+
+def statistics(text: str) -> dict[str, float]:
+    """All statistics of one text, its shares by a mixture of the EXAMPLES alone; zeros for a text without any visible character."""
+    values, vectors, chars = _document(text, {})
+    shares = np.array(chars, float) @ _of_examples().kind_posterior(_levels(vectors)) / sum(chars) if chars else np.zeros(len(KINDS))
+    return values | {f"{k}_share": float(v) for k, v in zip(KINDS, shares)}
 
 
-STATISTICS = ("chars", "words", "lines", "mean_word_length", "symbol_ratio", "digit_ratio", "line_stop_share", "common_share", "vowel_ratio", *(f"{k}_share" for k in KINDS))
-#: Inspected examples: texts of which the kind is plain, that give the mixture's components their kinds.
+#: Lines whose statistics a worker remembers.
+MEMO = 100_000
+#: Inspected examples: texts of which every line is plainly of the kind.  They seed the mixture and give its components their kinds.
 EXAMPLES = (
-    ("prose", "The council met on Monday and decided that the bridge will be repaired before the winter. Nobody spoke against it.\n\nAfter the meeting the mayor thanked the families that had waited for so long."),
-    ("prose", "A prefeitura anunciou que a ponte será recuperada antes do inverno, porque os moradores esperam há anos. Segundo o relatório, a obra custa pouco.\nNa semana passada, o conselho aprovou o projeto."),
-    ("prose", "EL CONSEJO APROBÓ EL PRESUPUESTO DE LA CIUDAD Y LA ESCUELA RECIBIÓ A LOS ALUMNOS DESPUÉS DE LA LLUVIA\nEl mercado volvió a abrir con poca gente"),
-    ("prose", "Home | News | Contact\nThe river in the valley rose again, and the people from the old town waited for the water to fall. It took three days.\nShare this page"),
-    ("prose", "Der Verein hat die Sammlung für das Museum bezahlt, weil die Gemeinde kein Geld hatte.\nSeit dem Winter ist die Schule mit dem neuen Dach wieder für alle offen."),
-    ("list", "- apples Venda\n- oranges 12\n- bread\n- Mira Colan\n- salt Dorva 8\n- Tolka Rimo\n- green tea"),
-    ("list", "1. Mada Napem\n2. oficina Gezara\n3. inverno Denor\n4. Bodel Mabel 171\n5. Faso Some\n6. festival Rerin"),
-    ("list", "Home › News › Park Sano\nHome › Region › School Mela\nHome › Sports › Club Tirana\nHome › Videos › Harbour Leto"),
-    ("list", "Dorva Mila 12\nTesa Colan\nmuseum Ravi\nPelo Santi 881\nharbour Kiso\nMada Tolka"),
-    ("table", "Name\tYear\tShare\tCity\nMila Dorva\t2019\t35%\tTolka\nTesa Colan\t2020\t71%\tRavi\nPelo Santi\t2021\t-\tKiso"),
-    ("table", "Brand: Colan\nColour: 1204\nWeight: 12,50\nOrigin: Tolka Rimo\nWarranty: 24"),
-    ("table", "Price: 30 | Brand: Mila | Code: 7781 | Size: 12,5 | Origin: Ravi"),
-    ("table", "School Tolka;Survey Mila;Index Ravi\nTesa;12/07/2025;71941\nPelo Kiso;02/06/2020;19112\nDorva;23/11/2019;2210"),
-    ("junk", "xkqv bvtrz plmnw qrtz zzkjh bdfgh mnbvc qwrtp\nlkjhg zxcvb trwqp vbnmk hgfds plkmj"),
-    ("junk", "^!+~[%-]*~>|\n-}_%?%@\\^&$\\}\\+#=|<!#>?*{&*~=_=$\\!~@-{{?!!!&=>"),
-    ("junk", "if(typeof abc!=='undefined'){window.def='34872';}\n.box-red{margin:8px auto;padding:0;display:none}\nvar x=y||{};x.push(function(){y.init(4729);});"),
-    ("junk", "hotel mila cheap flights ravi coupon tolka hotel dorva discount pelo cheap flights kiso credit tesa online santi coupon colan"),
-    ("junk", "&gt;Bag%20&#160;Fap\\u00eQue&lt;br&gt;\\u00eZab&#x27;37&lt;br&gt;Ser&#160;Bef%2050&lt;br&gt;Loz&gt;&#160;30"),
-    ("junk", "TOw7qIeLpKA4cmR0TmehW1teAZzq2ufL23aOkIesvWBrKddFQZvoTCUISnzYhHYB0sS0\n90BdGE741kW0hVYFLi/yoDO+2vGXC/SlthZ/MxBXha=="),
-    ("junk", "22973567 284 65129 66184 441 61528 2284997\n9165517 2617 4 4587 14983 69977 9545\n8 5620471 5539 168734 0 147857"),
+    ("prose", "The council met on Monday and decided that the bridge will be repaired before the winter. Nobody spoke against it.\nAfter the meeting the mayor thanked the families that had waited for so long.\nWhen the rain stopped, the children went back to the garden.\nShe did not know whether the letter had arrived"),
+    ("prose", "A prefeitura anunciou que a ponte será recuperada antes do inverno, porque os moradores esperam há anos. Segundo o relatório, a obra custa pouco.\nNa semana passada, o conselho aprovou o projeto.\nO rio subiu durante a noite e a escola ficou fechada até sexta-feira."),
+    ("prose", "EL CONSEJO APROBÓ EL PRESUPUESTO DE LA CIUDAD Y LA ESCUELA RECIBIÓ A LOS ALUMNOS DESPUÉS DE LA LLUVIA\nEl mercado volvió a abrir con poca gente\nTHE OLD LIBRARY OF THE TOWN WAS OPENED AGAIN AFTER THE LONG WINTER AND MANY PEOPLE CAME TO SEE IT."),
+    ("prose", "The river in the valley rose again, and the people from the old town waited for the water to fall. It took three days.\nLe maire a dit que la gare serait ouverte avant la fin de l'année, mais le budget n'est pas encore voté.\nLes habitants du quartier ont attendu plus de 200 jours pour retrouver leur bibliothèque."),
+    ("prose", "Der Verein hat die Sammlung für das Museum bezahlt, weil die Gemeinde kein Geld hatte.\nSeit dem Winter ist die Schule mit dem neuen Dach wieder für alle offen.\nIn diesem Jahr kamen mehr als 1.200 Besucher in das kleine Haus am Fluss."),
+    ("prose", "Il sindaco ha detto che la strada sarà chiusa fino alla fine di marzo, perché il ponte non è sicuro.\n\"Non abbiamo mai visto una pioggia così\", raccontano i vecchi del paese.\nSecondo il giornale, nella città vecchia sono rimasti in pochi."),
+    ("prose", "the mill by the lake was sold to a family from the coast that wants to bake bread there again\nwe walked along the shore until it was dark and then we took the last bus to the city\nnobody had told them that the road over the hill was closed for the whole winter and that the only way was by boat"),
+    ("prose", "O clube da vila ganhou o jogo com um gol no último minuto\nHe said that it was over.\nIs there anyone who knows why the lights went out?\nPor la tarde, la plaza se llenó de gente que quería ver la nueva fuente, y no quedó ni una silla libre."),
+    ("prose", "The harbour moved 4,310 tons in May, about 12% more than in the year before, according to the report of the port.\nNo ano de 2018, a cooperativa vendeu 350 mil litros de leite para as escolas da região.\nThe cafÃ© in the main street was closed because the owner had no money for the rent."),
+    ("prose", "— The old mill is closed —, said the owner, and he went home without a word.\n— A chuva veio cedo — disse a vizinha sobre a festa da praça.\no barco ficou parado no cais depois da tempestade\nIn March, the port changed the rules without the town, because the old ones were unclear to most of the crews and to the families on the shore, who had asked for years to be heard before anything was decided.\nL'école du village sera fermée cet été pour que les ouvriers puissent changer le toit, mais les enfants iront dans une autre école, dit la mairie.\n- Nobody in the town had seen the ship before it came to the shore, said the fisherman."),
+    ("prose", "When the new line was opened after eleven years of work, the people of the valley came down to the small station with flags and baskets, and the oldest of them said that they had not believed that a train would ever stop there, because so many plans had been made and given up before, and because the money that the region had promised was spent on a road that nobody uses, so that in the end it was the town itself that paid for most of the tunnel and for the two bridges over the river.\nQuando a nova linha foi aberta depois de onze anos de obras, os moradores do vale desceram até a pequena estação com bandeiras e cestas, e o mais velho deles disse que não acreditava que um trem fosse parar ali, porque muitos planos foram feitos e abandonados antes, e porque o dinheiro que a região havia prometido foi gasto com uma estrada que ninguém usa."),
+    ("list", "- apples from the hill\n- oranges 12\n- bread\n- Mira Colan\n- salt and sugar\n- green tea\n- Vando Rilo 8\n- winter coats"),
+    ("list", "1. Lupa Torim\n2. kitchen table\n3. wet paint\n4. Garo Belim 171\n5. blue door\n6. song Melari\n12. Rana Tovo\n23) old stamps"),
+    ("list", "Home › News › Park Lumo\nHome › Region › School Vira\nStart › Sport › Verein Talo\nInicio › Videos › Puerto Neva › 2019"),
+    ("list", "Dorim Vela 12\nTano Pira\nmuseum Kiva\nVelo Santim 881\nharbour Riko\nMolo Tarka\nspring flowers\nRiva\nGrande Torre Nilo\nbakery Simo 4"),
+    ("list", "* contact\n* about us\n* imprint and privacy\n* jobs\n• river cruise\n• city tour Lana\n• night market\n+ extras 3\n– Rolo Mita"),
+    ("list", "a) lemon cake\nb) plum tart\nc) rye bread Kolo\n(1) first floor\n(2) second floor\n[x] milk\n[ ] butter\n[ ] Vena Tiro 5"),
+    ("list", "- the door behind the trees Padola\n- der Hof an der Brücke Lomi\n- a casa do rio Vanti\nShare this page: Feed | Mail\nRead more in Norva Bepi\nSubscribe to the newsletter\nNews\nSport\nLocal elections\nWeather\nContact\nLogin\nMais lidas\nÚltimas notícias\nImpressum\nFotos e vídeos"),
+    ("list", "• tomatoes • onions • garlic • olive oil • Rana salt\n1. Kilo 2. Vano 3. Toru 4. Selim 5. Brago 6. Nuri\n- milk - eggs - flour - butter - Rilo sugar"),
+    ("table", "Name\tYear\tShare\tCity\nMila Dorva\t2019\t35%\tTolka\nTesa Colan\t2020\t71%\tRavi\nPelo Santi\t2021\t-\tKiso\nsum\t6060\t106%\t3"),
+    ("table", "Brand: Colan\nColour: 1204\nWeight: 12,50\nOrigin: Vela Rimo\nWarranty: 24\nPhone: 555 0199\nSize: 40 x 60\nModel: TX-900\nAuthor: Rena Miro\nDate: 12/05/2017"),
+    ("table", "Price: 30 | Brand: Mila | Code: 7781 | Size: 12,5 | Origin: Ravi\nAge: 7; Weight: 20; City: Nola; Team: Rivo\nStock: 18 | Colour: red | Shelf: 4"),
+    ("table", "School Mira;Survey Talo;Index Nevo\nTesa;12/07/2025;71941\nPelo Kiso;02/06/2020;19112\nDorva;23/11/2019;2210\nyear;count;share\n2012;33;0,5"),
+    ("table", "| team | played | won | points |\n| Rivo | 12 | 7 | 22 |\n| Santo Kela | 12 | 6 | 20 |\n| Norda | 11 | 2 | 8 |"),
+    ("table", "2015  120  33,5  8%\n2016  131  30,1  9%\nVela   44   12   1,5\nRimo   51   18   2,0\nNova Tirana   640   22,4   31%\nTotal   1,204   100"),
+    ("table", "12.05.2020 14:30 22,5 C\n03/04/2018 45.20 +1.5%\nJan 10 12 9 14\nMar 22 25 19 30\nMon 08:00 17:30\nRivo 3 Santo 1\nTirana 12,5 14,0 13,2"),
+    ("table", "Vela, Mira,1982,Kiso\nsku,name,price\n1001,lamp,25.90\n1002,chair,79.00\nLuno / Tarka / Rimo / Vela\nSagi / Meti / 48101\n| Tropa | 41% | 62% | Tira | 3% |\n12 / 14 / 9 / 30"),
+    ("junk", "xkqv bvtrz plmnw qrtz zzkjh bdfgh mnbvc qwrtp\nlkjhg zxcvb trwqp vbnmk hgfds plkmj\nwrtkl pqzxv mnrtb\nqqkx zrtw bvnm ghjkl tfrds wqpzk xcvbn\nsdfg hjkl qwrt zxcv\ntrplkqwvb zxcdfg mnbhjk wrtplksd qvbcnm hgfjdksl zzqwrt plmkjn bvcxzlkj tgbrfv\nkjhgfdswq bn vcxrtplm gh dfsqwzxkl mnbvcr tq wsdfgplk jhrt xcvbnmkl qwrtpsdfgh zx lkjhgv bnmtr wqplk sdfghj\nvbnmkljhg fdsrtwq plkjhmnbv"),
+    ("junk", "^!+~[%-]*~>|\n-}_%?%@^&$}+#=|<!#>?*{&*~=_=$!~@-{{?!!!&=>\n=====*****=====\n#@!~%%^&*()_+|}{\n<><><>[][]{}~~~"),
+    ("junk", "if(typeof abc!=='undefined'){window.def='34872';}\n.box-red{margin:8px auto;padding:0;display:none}\nvar x=y||{};x.push(function(){y.init(4729);});\nfunction go(a){return a?b(a):null}\n<div class=\"row\"><span id=\"k2\">0</span></div>\n@media (max-width:600px){.nav{display:none}}"),
+    ("junk", "hotel mila cheap flights ravi coupon tolka hotel dorva discount pelo cheap flights kiso credit tesa online santi coupon colan\nbuy online cheap discount shoes buy shoes online cheap sale shoes discount\nloan credit loan fast loan online credit card loan bank fast\nseguro barato hotel viagem desconto passagem hotel barato seguro online"),
+    ("junk", "&gt;Top%20&#160;Mel\\u00eRila&lt;br&gt;\\u00eVob&#x27;41&lt;br&gt;Nur&#160;Lin%2033&lt;br&gt;Pod&gt;&#160;12\n%3Cdiv%3E%20%26nbsp%3B%E2%80%A6%3C%2Fdiv%3E\n&nbsp;&nbsp;&amp;quot;&lt;p&gt;"),
+    ("junk", "Rk9vQmFyMTIzNDU2Nzg5MGFiY2RlZmdoaWprbG1ub3BxcnN0dXZ3eHl6QUJDREVG\nq7Zt/Lw0Xn3+YbR5kGm2Vd8Jc4Hs9Pf1Ta6UeKoWiBxMz==\n4f8a1c0e9b7d3265ff01ab98cd76ef54a0b1c2d3e4f56789\neyJhbGciOiJIUzI1NiJ9.eyJ1c2VyIjo0Mn0"),
+    ("junk", "81920344 17 55021 90213 6 331872 4400917\n7731250 48 2 90551 1138 64201 73\n5 0021887 913 4 77120 38 560193\n40982 1 7765 33 902817 2 60 11873"),
 )
-COMPONENTS = 12
-#: Levels that each fitted statistic is cut into; LEVELS ** len(FITTED) bounds the cells that EM works on.
-LEVELS = 5
-RIDGE = 0.05
+ROUNDS = 15
+RIDGE = 0.02
+#: Variance, in squared deviations, and weight that a component begins with; a component keeps both where no line is left to it.
+START_VARIANCE = 0.25
 
 
 def document_statistics(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id, statistics...)`` of every document, once per id.
+    """``(id, statistics..., cells, line_chars)`` of every document, once per id.
 
-    Rows with null id or null text are no documents; empty or blank texts have zeros throughout.
+    ``cells`` holds the levels of the FITTED statistics, a byte each, of its lines that are not blank, and ``line_chars``
+    their characters.  Rows with null id or null text are no documents; empty or blank texts have zeros throughout.
     """
 
     def step(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = [statistics(t) for t in batch.column(1).to_pylist()]
-        return {"id": batch.column(0).to_pylist()} | {k: [float(r[k]) for r in rows] for k in STATISTICS}
+        out: dict[str, list] = {"id": batch.column(0).to_pylist()} | {k: [] for k in (*STATISTICS, "cells", "line_chars")}
+        lines: dict[str, tuple] = {}
+        for text in batch.column(1).to_pylist():
+            values, vectors, chars = _document(text, lines)
+            for k, v in values.items():
+                out[k].append(v)
+            out["cells"].append(_levels(vectors).tobytes())
+            out["line_chars"].append(chars)
+        return out
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    return map_batches(src, "id long, " + ", ".join(f"{k} double" for k in STATISTICS), step).dropDuplicates(["id"])
+    return map_batches(src, "id long, " + ", ".join(f"{k} double" for k in STATISTICS) + ", cells binary, line_chars array<int>", step).dropDuplicates(["id"])
 
 
 @dataclass
 class Mixture:
-    """A mixture of Gaussians with diagonal covariance over standardised statistics."""
+    """A mixture of Gaussians with diagonal covariance over standardised statistics of lines."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -181,92 +183,139 @@ class Mixture:
     var: np.ndarray
     kinds: list[str]
 
-    def log_density(self, z: np.ndarray) -> np.ndarray:
-        d = z[:, None, :] - self.mean[None]
-        return np.log(self.weight) - 0.5 * (d * d / self.var + np.log(2 * np.pi * self.var)).sum(axis=2)
+    def standard(self, cells: np.ndarray) -> np.ndarray:
+        return (cells / LEVELS - self.centre) / self.scale
 
+    def posterior(self, z: np.ndarray) -> np.ndarray:
+        """Probability of each component for standardised statistics."""
+        ld = np.log(self.weight) - 0.5 * ((z * z) @ (1 / self.var).T - 2 * z @ (self.mean / self.var).T + (self.mean**2 / self.var + np.log(self.var)).sum(axis=1))
+        p = np.exp(ld - ld.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
-def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = 60) -> Mixture:
-    """Expectation-maximisation over all documents, from one aggregation of at most LEVELS ** 8 cells.
+    def kind_posterior(self, cells: np.ndarray) -> np.ndarray:
+        member = np.array([[kind == k for k in KINDS] for kind in self.kinds], float)
+        distinct, where = np.unique(cells.reshape(-1, len(FITTED)), axis=0, return_inverse=True)
+        return (self.posterior(self.standard(distinct)) @ member)[where.reshape(-1)]
 
-    Each cell keeps its count, sums and sums of squares, so that means and variances of the
-    components are those of the documents; only the responsibilities are shared within a cell.
+
+@lru_cache(maxsize=1)
+def _examples() -> tuple[np.ndarray, list[str]]:
+    """Distinct cells of the example lines, and their kinds."""
+    own = [(kind, line) for kind, text in EXAMPLES for line in text.split("\n") if line.strip()]
+    cells, first = np.unique(_levels([_line(line)[0] for _, line in own]), axis=0, return_index=True)
+    return cells, [own[i][0] for i in first]
+
+
+@lru_cache(maxsize=1)
+def _of_examples() -> Mixture:
+    cells, kinds = _examples()
+    x = cells / LEVELS
+    m = Mixture(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-2), np.full(len(x), 1 / len(x)), np.zeros(x.shape), np.full(x.shape, START_VARIANCE), kinds)
+    m.mean = m.standard(cells)
+    return m
+
+
+def _counted_cells(stats: DataFrame) -> DataFrame:
+    """``(cell, n)``: the lines of all documents by cell, counted inside each batch first."""
+    width = len(FITTED)
+
+    def step(batch: pa.RecordBatch) -> dict[str, list]:
+        cells = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"V{width}")
+        distinct, n = np.unique(cells, return_counts=True)
+        return {"cell": [c.tobytes() for c in distinct], "n": n.tolist()}
+
+    return map_batches(stats.filter("lines > 0").select("cells"), "cell binary, n long", step).groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _sums(cells: DataFrame, weigh) -> np.ndarray:
+    """Sums over all cells of the matrices that ``weigh(levels, n)`` gives, (rows, 1 + 2 x statistics): a row goes to the driver."""
+    names = [f"v{i}" for i in range(1 + 2 * len(FITTED))]
+
+    def step(batch: pa.RecordBatch) -> dict[str, list]:
+        levels = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, len(FITTED))
+        total = weigh(levels, batch.column(1).to_numpy().astype(float))
+        return {"row": list(range(len(total)))} | {c: total[:, i].tolist() for i, c in enumerate(names)}
+
+    rows = map_batches(cells, "row int, " + ", ".join(f"{c} double" for c in names), step).groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).collect()
+    return np.array([[r[c] for c in names] for r in sorted(rows, key=lambda r: r["row"])]).reshape(len(rows), len(names))
+
+
+def fit_mixture(stats: DataFrame, rounds: int = ROUNDS) -> Mixture:
+    """Expectation-maximisation over the lines of all documents, one component for each inspected example to begin with.
+
+    A round is one pass over the counted cells; what goes to the driver is one row for each component.
     An empty input gives a single standard component.
     """
-    seen = stats.filter("lines > 0")
-    head = seen.agg(*[f(c).alias(f"{n}_{c}") for c in FITTED for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    centre = np.array([head[f"m_{c}"] or 0.0 for c in FITTED])
-    scale = np.array([max(head[f"s_{c}"] or 0.0, 1e-3) for c in FITTED])
-    unit = [F.least(F.floor(F.greatest(F.col(c), F.lit(0.0)) * LEVELS), F.lit(LEVELS - 1)).cast("int") for c in FITTED]
-    z = [((F.col(c) - float(m)) / float(s)) for c, m, s in zip(FITTED, centre, scale)]
-    cells = seen.groupBy(*[u.alias(f"u{i}") for i, u in enumerate(unit)]).agg(F.count("*").alias("n"), *[f for i, v in enumerate(z) for f in (F.sum(v).alias(f"a{i}"), F.sum(v * v).alias(f"b{i}"))]).toPandas()
-    d = len(FITTED)
-    if cells.empty:
-        return _named(Mixture(centre, scale, np.ones(1), np.zeros((1, d)), np.ones((1, d)), []))
-    cells = cells.sort_values([f"u{i}" for i in range(d)], ignore_index=True)
-    n = cells["n"].to_numpy(float)
-    x = cells[[f"a{i}" for i in range(d)]].to_numpy() / n[:, None]
-    sq = cells[[f"b{i}" for i in range(d)]].to_numpy() / n[:, None]
-    k = min(components, len(x))
-    seeds, far = [int(n.argmax())], np.full(len(x), np.inf)
-    while len(seeds) < k:  # farthest points first, weighed by how many documents they stand for
-        far = np.minimum(far, ((x - x[seeds[-1]]) ** 2).sum(axis=1))
-        seeds.append(int((far * np.sqrt(n)).argmax()))
-    m = Mixture(centre, scale, np.full(k, 1 / k), x[seeds].copy(), np.ones((k, d)), [])
+    cells, d = materialize(_counted_cells(stats), "line-cells"), len(FITTED)
+    one = _sums(cells, lambda x, n: np.concatenate(([n.sum()], n @ (x / LEVELS), n @ (x / LEVELS) ** 2))[None])
+    if not len(one):
+        return Mixture(np.zeros(d), np.ones(d), np.ones(1), np.zeros((1, d)), np.ones((1, d)), ["prose"])
+    n, centre, square = one[0, 0], one[0, 1 : d + 1] / one[0, 0], one[0, d + 1 :] / one[0, 0]
+    seeds, _ = _examples()
+    k = len(seeds)
+    m = Mixture(centre, np.sqrt(np.maximum(square - centre**2, 1e-4)), np.full(k, 1 / k), np.zeros((k, d)), np.full((k, d), START_VARIANCE), [])
+    m.mean = m.standard(seeds)
     for _ in range(rounds):
-        ld = m.log_density(x)
-        r = np.exp(ld - ld.max(axis=1, keepdims=True))
-        r *= (n / r.sum(axis=1))[:, None]
-        total = r.sum(axis=0) + 1e-9
-        mean = r.T @ x / total[:, None]
-        var = np.maximum(r.T @ sq / total[:, None] - mean * mean, 0) + RIDGE
-        moved = np.abs(mean - m.mean).max()
-        m = Mixture(centre, scale, total / total.sum(), mean, var, [])
-        if moved < 1e-4:
-            break
+
+        def expect(x: np.ndarray, n: np.ndarray, m: Mixture = m) -> np.ndarray:
+            z = m.standard(x)
+            r = m.posterior(z) * n[:, None]
+            return np.concatenate((r.sum(axis=0)[:, None], r.T @ z, r.T @ (z * z)), axis=1)
+
+        got = _sums(cells, expect)
+        total = got[:, :1]
+        held = total > 1e-3
+        mean = np.where(held, got[:, 1 : d + 1] / np.maximum(total, 1e-9), m.mean)
+        var = np.where(held, np.maximum(got[:, d + 1 :] / np.maximum(total, 1e-9) - mean**2, 0) + RIDGE, m.var)
+        weight = total[:, 0] + 1e-6
+        m = Mixture(m.centre, m.scale, weight / weight.sum(), mean, var, [])
     return _named(m)
 
 
 def _named(m: Mixture) -> Mixture:
     """Give each component the kind of the inspected examples that fall to it, or else of the nearest one."""
-    z = np.array([[(statistics(t)[c] - a) / s for c, a, s in zip(FITTED, m.centre, m.scale)] for _, t in EXAMPLES])
-    ld = m.log_density(z)
-    r = np.exp(ld - ld.max(axis=1, keepdims=True))
-    r /= r.sum(axis=1, keepdims=True)
-    near = np.exp(-0.5 * ((z[:, None, :] - m.mean[None]) ** 2).sum(axis=2) / len(FITTED))
-    for j in range(len(m.weight)):
-        votes = {k: sum(r[i, j] + 1e-3 * near[i, j] for i, (kind, _) in enumerate(EXAMPLES) if kind == k) / sum(kind == k for kind, _ in EXAMPLES) for k in KINDS}
-        m.kinds.append(max(KINDS, key=votes.get))
+    cells, kinds = _examples()
+    z = m.standard(cells)
+    p = m.posterior(z)
+    votes = np.stack([p[np.array(kinds) == k].mean(axis=0) for k in KINDS])
+    nearest = ((z[:, None, :] - m.mean[None]) ** 2).sum(axis=2).argmin(axis=0)
+    m.kinds = [KINDS[votes[:, j].argmax()] if votes[:, j].max() > 1e-3 else kinds[nearest[j]] for j in range(len(m.weight))]
     return m
 
 
 def classify(stats: DataFrame, m: Mixture) -> DataFrame:
-    """``stats`` with ``kind`` and its ``confidence``, from the posteriors of whole batches.
+    """``stats`` without its cells, with the share of each kind in the characters of its lines, its ``kind`` and ``confidence``.
 
-    A document without visible text has the kind null.
+    The kind is the one with the largest share, which is the confidence; a document without visible text has the kind null.
     """
-    member = np.array([[kind == k for k in KINDS] for kind in m.kinds], float)
+    names = [n for n in stats.columns if n not in ("cells", "line_chars")]
+    types = dict(stats.dtypes)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        z = (np.stack([column[c].to_numpy(zero_copy_only=False) for c in FITTED], axis=1) - m.centre) / m.scale
-        ld = m.log_density(z)
-        p = np.exp(ld - ld.max(axis=1, keepdims=True)) @ member
-        best, seen = p.argmax(axis=1), column["lines"].to_numpy(zero_copy_only=False) > 0
-        kinds = pa.array([KINDS[j] if s else None for j, s in zip(best, seen)], pa.string())
-        confidence = pa.array(p.max(axis=1) / p.sum(axis=1), pa.float64())
-        return pa.RecordBatch.from_arrays([*batch.columns, kinds, confidence], names=[*batch.schema.names, "kind", "confidence"])
-
-    return map_batches(stats, ", ".join(f"{n} {t}" for n, t in stats.dtypes) + ", kind string, confidence double", step)
+        chars = column["line_chars"]
+        sizes = np.diff(chars.offsets.to_numpy())
+        weights = chars.flatten().to_numpy().astype(float)
+        share = np.zeros((batch.num_rows, len(KINDS)))
+        if len(weights):
+            levels = np.frombuffer(b"".join(column["cells"].to_pylist()), np.uint8)
+            np.add.at(share, np.repeat(np.arange(batch.num_rows), sizes), m.kind_posterior(levels) * weights[:, None])
+        total = share.sum(axis=1)
+        share /= np.maximum(total, 1e-9)[:, None]
+        kinds = pa.array([KINDS[j] if s else None for j, s in zip(share.argmax(axis=1), total > 0)], pa.string())
+        arrays = [*(column[c] for c in names), *(pa.array(share[:, j]) for j in range(len(KINDS))), kinds, pa.array(share.max(axis=1))]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, *(f"{k}_share" for k in KINDS), "kind", "confidence"])
+
+    ddl = ", ".join(f"{n} {types[n]}" for n in names)
+    return map_batches(stats, ddl + "".join(f", {k}_share double" for k in KINDS) + ", kind string, confidence double", step)
 
 
 def page_kinds(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id, statistics..., kind, confidence)`` of every document."""
+    """``(id, statistics..., shares..., kind, confidence)`` of every document."""
     stats = materialize(document_statistics(df, id_col, text_col), "text-statistics")
     return classify(stats, fit_mixture(stats))
 
 
 def found(df: DataFrame, share: float = SHARE, **kw) -> DataFrame:
-    """``(id, kind)`` of each document of kind list, table or junk by the mixture, of which that kind makes up ``share`` at least."""
-    own = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"{k}_share")) for k in KINDS])
-    return page_kinds(df, **kw).filter((F.col("kind") != "prose") & (own >= share)).select("id", "kind")
+    """``(id, kind)`` of each document of which lines of kind list, table or junk by the mixture make up ``share`` at least."""
+    return page_kinds(df, **kw).filter((F.col("kind") != "prose") & (F.col("confidence") >= share)).select("id", "kind")

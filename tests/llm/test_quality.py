@@ -42,3 +42,23 @@ def test_empty_and_long(spark):
     assert Q.page_kinds(df).count() == 1
     m = Q.fit_mixture(Q.document_statistics(df.limit(0)))
     assert len(m.weight) == 1 and len(m.kinds) == 1
+
+
+def test_the_mixture_decides(spark):
+    """Kinds come from the components: with their kinds taken away nothing is found; and its rounds move the components."""
+    data = corpus()
+    stats = Q.document_statistics(spark.createDataFrame([(i, t, "c", 1) for i, _, t in data], SCHEMA)).cache()
+    m = Q.fit_mixture(stats)
+    assert {r.kind for r in Q.classify(stats, m).collect()} == set(Q.KINDS)
+    assert abs(Q.fit_mixture(stats, rounds=0).mean - m.mean).max() > 0.1 and abs(m.weight.sum() - 1) < 1e-9
+    m.kinds = ["prose"] * len(m.kinds)
+    assert {r.kind for r in Q.classify(stats, m).collect()} == {"prose"}
+
+
+def test_page_of_two_kinds(spark):
+    prose = "The people of the town met on the bridge and spoke for a long time about the winter.\n"
+    table = "Vela\t2019\t35%\tTolka\n"
+    data = [(i, prose * 5 + table * 3, "c", 1) for i in range(6)] + [(10, prose + table * 30, "c", 1), (11, prose * 4 + table * 12, "c", 1)]
+    out = {r.id: r for r in Q.page_kinds(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert out[0].kind == "prose" and out[10].kind == "table" and out[10].table_share > 2 / 3 and out[11].confidence < 2 / 3
+    assert abs(sum(out[11][f"{k}_share"] for k in Q.KINDS) - 1) < 1e-9
