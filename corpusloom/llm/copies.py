@@ -15,7 +15,7 @@ from corpusloom.session import materialize
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _FIELD_BREAK = re.compile(r"[\n\r|;\x0b\x0c\x85  ]+")
-_FIELD = re.compile(r"\s*[^\W\d_][^:.!?]{0,39}:\s*[^:]*\Z")
+_FIELD = re.compile(r"\s*[^\W\d_][^:.!?]*:\s*[^:]*\Z")
 #: A key held by more rows than this is hot: it is aggregated in two levels.
 HOT_ROWS = 20_000
 SALTS = 64
@@ -83,21 +83,23 @@ def format_copies(df: DataFrame, id_col: str = "id", text_col: str = "text", hot
     empty input gives no rows.
     """
     keys = materialize(canonical_keys(df, id_col, text_col), "format-keys")
-    counts = keys.groupBy("hi", "lo").count()
-    hot = counts.filter(F.col("count") > hot_rows).select("hi", "lo")
-    hot = materialize(hot, "format-hot")
-    groups = (
-        keys.join(F.broadcast(hot), ["hi", "lo"], "left_anti")
-        .groupBy("hi", "lo")
-        .agg(F.min("id").alias("kept_id"), F.collect_list("id").alias("ids"))
-        .filter(F.size("ids") > 1)
-    )
-    cold = groups.select(F.explode("ids").alias("id"), "kept_id", F.size("ids").cast("long").alias("copies"))
-    salted = keys.join(F.broadcast(hot), ["hi", "lo"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    cold, heads = _groups(keys, hot_rows, salts)
+    each = cold.filter(F.size("ids") > 1).select(F.explode("ids").alias("id"), "kept_id", F.size("ids").cast("long").alias("copies"))
+    return each.unionByName(keys.join(heads, ["hi", "lo"]).select("id", "kept_id", "copies"))
+
+
+def _groups(keys: DataFrame, hot_rows: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """``(hi, lo, kept_id, ids)`` of all keys that are not hot, and ``(hi, lo, kept_id, copies)`` of the hot ones.
+
+    The table of hot keys grows with rows / hot_rows; it is left to the planner, which sends it to all
+    executors while it is small and splits the skewed partitions of a shuffled join beyond.
+    """
+    hot = materialize(keys.groupBy("hi", "lo").count().filter(F.col("count") > hot_rows).select("hi", "lo"), "format-hot")
+    cold = keys.join(hot, ["hi", "lo"], "left_anti").groupBy("hi", "lo").agg(F.min("id").alias("kept_id"), F.collect_list("id").alias("ids"))
+    salted = keys.join(hot, ["hi", "lo"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     first = salted.groupBy("hi", "lo", "salt").agg(F.min("id").alias("m"), F.count("*").alias("n"))
     heads = first.groupBy("hi", "lo").agg(F.min("m").alias("kept_id"), F.sum("n").alias("copies"))
-    warm = keys.join(F.broadcast(heads), ["hi", "lo"]).select("id", "kept_id", "copies")
-    return cold.unionByName(warm)
+    return cold, materialize(heads, "format-heads")
 
 
 def copy_groups(df: DataFrame, **kw) -> DataFrame:
@@ -110,7 +112,7 @@ def found(df: DataFrame, **kw) -> DataFrame:
     return format_copies(df, **kw).filter("id <> kept_id").select("kept_id", F.col("id").alias("copy_id"))
 
 
-def collapsed(df: DataFrame, **kw) -> DataFrame:
-    """``(id, copies)``: every record with a key that stays after collapsing, singles included."""
-    keys = canonical_keys(df, kw.get("id_col", "id"), kw.get("text_col", "text"))
-    return keys.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies")
+def collapsed(df: DataFrame, id_col: str = "id", text_col: str = "text", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """``(id, copies)``: every record with a key that stays after collapsing, singles included; hot keys as in ``format_copies``."""
+    cold, heads = _groups(materialize(canonical_keys(df, id_col, text_col), "format-keys"), hot_rows, salts)
+    return cold.select(F.col("kept_id").alias("id"), F.size("ids").cast("long").alias("copies")).unionByName(heads.select(F.col("kept_id").alias("id"), "copies"))

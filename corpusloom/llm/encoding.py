@@ -20,11 +20,12 @@ from corpusloom.functions.arrow import chunks, map_batches
 
 #: Single-byte encodings in which UTF-8 bytes are commonly misread.
 WRONG = ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "cp1254", "cp1257", "iso8859-9", "koi8-r", "cp866")
-#: Code points below FINE are classes of their own, those above share one per 256.
-FINE = 0x3000
-CLASSES = FINE + (0x110000 >> 8)
-#: Distinct pairs that the score table may hold; beyond it the rarest are left out, which scores them as unseen.
-MAX_PAIRS = 1 << 22
+#: First code points of ranges, and how many bits of a code point share a class there: the scripts and signs that
+#: garbling makes are classes of their own, others share one per 64 or 4096.  So there are CLASSES classes at most,
+#: and the table of all pairs, which goes to every worker, has CLASSES ** 2 entries of 16 bytes (251 MB) whatever the corpus.
+RANGES = ((0, 0), (0x600, 6), (0x2000, 0), (0x2800, 12), (0x110000, 0))
+#: Occurrences from which a character is one that the corpus knows.
+KNOWN = 2
 #: A pair is improbable below this association (natural logarithm).
 ASSOCIATION = -9.0
 UNSEEN = -32.0
@@ -34,8 +35,18 @@ MAX_LEVELS = 3
 MEMO = 100_000
 
 
+_STARTS = np.array([a for a, _ in RANGES], np.int64)
+_SHIFTS = np.array([b for _, b in RANGES], np.int64)
+_BASES = np.concatenate(([0], np.cumsum((np.diff(_STARTS) + (1 << _SHIFTS[:-1]) - 1) >> _SHIFTS[:-1])))
+CLASSES = int(_BASES[-1])
+
+
 def _classes(cp: np.ndarray) -> np.ndarray:
-    return np.where(cp < FINE, cp, FINE + (cp >> 8)).astype(np.int64)
+    cp = cp.astype(np.int64)
+    if not len(cp) or cp.max() < _STARTS[1]:
+        return cp
+    at = np.searchsorted(_STARTS, cp, side="right") - 1
+    return _BASES[at] + ((cp - _STARTS[at]) >> _SHIFTS[at])
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -82,8 +93,8 @@ class PairScores:
     known: frozenset[int] = field(default_factory=frozenset)
 
     @classmethod
-    def fit(cls, counts: DataFrame, max_pairs: int = MAX_PAIRS) -> PairScores:
-        rows = counts.orderBy(F.desc("n"), "pair").limit(max_pairs).toArrow()
+    def fit(cls, counts: DataFrame) -> PairScores:
+        rows = counts.toArrow()
         pair, n = rows.column("pair").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.float64)
         order = np.argsort(pair)
         pair, n = pair[order], n[order]
@@ -92,7 +103,7 @@ class PairScores:
         one = np.bincount(left, weights=n, minlength=CLASSES) if len(pair) else np.ones(CLASSES)
         two = np.bincount(right, weights=n, minlength=CLASSES) if len(pair) else np.ones(CLASSES)
         score = 3 * np.log(n / total) - np.log(one[left] / total) - np.log(two[right] / total)
-        common = np.flatnonzero(one >= max(2.0, total * 2e-8))
+        common = np.flatnonzero(one >= KNOWN)
         return cls(pair, score, frozenset(common.tolist()))
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -258,7 +269,7 @@ def repaired(df: DataFrame, id_col: str = "id", text_col: str = "text", threshol
 
     ``restored`` is the text with every run restored whose bytes can still be had (null if
     ``with_text`` is off).  Null and empty texts have no garbling; repeated rows of an id give one
-    row; an empty input gives none.  The score table (at most MAX_PAIRS entries) is fitted over all
+    row; an empty input gives none.  The score table (at most CLASSES ** 2 pairs) is fitted over all
     rows and sent to the workers.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")

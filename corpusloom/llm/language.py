@@ -45,6 +45,21 @@ _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"(?<=[.!?…])[»”\"')\]]*\s+(?=[^a-zà-ÿ])|\n\s*\n|\n(?=\s*[^\sa-zà-ÿ])")
 
 
+#: Function words of each language, its lexicon.
+LEXICON = {
+    "pt": "não uma são com para pelo pela dos das nos nas mais mas também já até sobre entre depois sem seu sua foi está isso ele ela muito quando onde quem ainda os as ao aos",
+    "es": "una los las del con para por pero más también ya hasta sobre entre después sin su fue está eso él ella muy cuando donde quien aún y el al lo unos sus según",
+    "en": "the of and to in is was for with on that by this from which not are have been they their there would when who about after before into than its it he she we you",
+    "fr": "les des une du dans pour avec sur est pas plus mais aussi été qui que sont par au aux cette ces son sa leur nous vous ils elle où très après avant chez sans encore",
+    "de": "der die das und nicht ist mit von den dem ein eine auf für sich auch werden wird sind aus bei nach nur noch wie über zum zur aber oder wenn wir ihr haben seit",
+    "it": "il gli della delle degli nella nel con per non più anche che sono una di da dal alla alle sul sulla questo questa è stato era dopo prima senza ancora loro molto dove",
+}
+_IN_LEXICON: dict[str, list[str]] = {}
+for _lang, _words in LEXICON.items():
+    for _word in _words.split():
+        _IN_LEXICON.setdefault(_word, []).append("l" + _lang)
+
+
 def label_language(label: str | None) -> str | None:
     """Language that a delivered label names: one of LANGS, ``other`` for another word, null if it names none.
 
@@ -72,9 +87,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a word in lower case: itself, its affixes and its character trigrams."""
-    w = word[:40]
-    keys = ["w" + w, *("p" + w[:k] for k in (1, 2, 3) if len(w) > k), *("s" + w[-k:] for k in (1, 2, 3, 4) if len(w) > k)]
+    """Hashed features of a word in lower case: itself, the lexicons that hold it, its affixes and its character trigrams."""
+    w = word
+    keys = ["w" + w, *_IN_LEXICON.get(w, ()), *("p" + w[:k] for k in (1, 2, 3) if len(w) > k), *("s" + w[-k:] for k in (1, 2, 3, 4) if len(w) > k)]
     edged = f"<{w}>"
     keys += ["g" + edged[i : i + 3] for i in range(len(edged) - 2)]
     return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in keys]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,11 @@ def token_counts(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
     Rows with a null id, source or text take no part; an empty text has 0 tokens.
     """
 
+    df.sparkSession.sparkContext.addFile(vocabulary)  # the workers may not have it at that path
+    name = os.path.basename(vocabulary)
+
     def step(batch: pa.RecordBatch) -> dict[str, list]:
-        enc = _encoder(vocabulary)
+        enc = _encoder(SparkFiles.get(name))
         return {"doc_id": batch.column(0).to_pylist(), "source": batch.column(1).to_pylist(), "n_tokens": [len(enc.encode_ordinary(t)) for t in batch.column(2).to_pylist()]}
 
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL")
@@ -100,18 +105,36 @@ def knapsack(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return dict(take)
 
 
+def fill(wanted: float, weights: dict[str, float], most: dict[str, int]) -> dict[str, int]:
+    """Tokens of each source: ``wanted`` parted by weights, where what a source cannot give goes to the others by their weights.
+
+    So the whole size is reached while any source has tokens left, and the sources that are not used up keep the proportions
+    of their weights among each other.
+    """
+    out, left = dict.fromkeys(weights, 0), dict(weights)
+    while left:
+        total = sum(left.values())
+        full = [s for s, w in left.items() if wanted * w / total >= most[s]] if total > 0 else []
+        if not full:
+            return out | {s: int(wanted * w / total) for s, w in left.items() if total > 0}
+        for s in full:
+            out[s] = most[s]
+            wanted -= most[s]
+            del left[s]
+    return out
+
+
 def plan_mix(targets: list[dict], histogram: dict[str, dict[int, int]], window: int = WINDOW) -> list[tuple[str, str, int, int, int]]:
     """``(recipe, source, n_tokens, copies, extra)``: whole repeats of each length, and of how many documents one more."""
     plan = []
     for recipe in sorted({t["recipe"] for t in targets}):
         own = [t for t in targets if t["recipe"] == recipe]
         size = {t["source"]: sum(k * n for k, n in histogram.get(t["source"], {}).items()) for t in own}
-        wanted, weights = max(t["size_factor"] for t in own) * sum(size.values()), sum(t["weight"] for t in own)
+        budgets = fill(max(t["size_factor"] for t in own) * sum(size.values()), {t["source"]: t["weight"] for t in own}, {t["source"]: size[t["source"]] * t["max_repeats"] for t in own})
         for t in own:
-            total = size[t["source"]]
-            if not total or not weights:
+            total, tokens = size[t["source"]], budgets[t["source"]]
+            if not total:
                 continue
-            tokens = min(int(wanted * t["weight"] / weights), total * t["max_repeats"])
             copies, rest = divmod(tokens, total)
             extra = fit_budget(histogram[t["source"]], rest, window)
             plan += [(recipe, t["source"], k, copies, min(extra.get(k, 0), n)) for k, n in histogram[t["source"]].items() if copies or extra.get(k)]
@@ -136,8 +159,10 @@ def _targets(targets: DataFrame) -> list[dict]:
 def _mix(tokens: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     spark = tokens.sparkSession
     histogram: dict[str, dict[int, int]] = defaultdict(dict)
-    for r in tokens.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).toLocalIterator():
-        histogram[r.source][r.n_tokens] = r.n
+    # distinct lengths of each source: their number is bounded by the longest text, not by the documents
+    counts = tokens.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).toArrow()
+    for source, length, n in zip(*(counts.column(c).to_pylist() for c in ("source", "n_tokens", "n"))):
+        histogram[source][length] = n
     plan = spark.createDataFrame(plan_mix(_targets(targets), histogram), "recipe string, source string, n_tokens long, copies long, extra long")
     group = ["recipe", "source", "n_tokens"]
     # One source and length may hold very many documents: both sides are spread by a part of the id.
@@ -155,9 +180,10 @@ def _mix(tokens: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
 
 def report(df: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, **names) -> DataFrame:
-    """Actual shares, repeats and shortfalls of each recipe and source, summed from the mix itself.
+    """Actual shares, repeats, shortfalls and surpluses of each recipe and source, summed from the mix itself.
 
-    A source without documents has no tokens and its whole target as shortfall.
+    A source without documents has no tokens and its whole target as shortfall; what a source lacks is the
+    surplus of others, as far as their repeats allow.
     """
     tokens = materialize(token_counts(df, vocabulary, **names), "token-counts")
     own = targets.filter("recipe IS NOT NULL AND source IS NOT NULL AND weight > 0").groupBy("recipe", "source").agg(F.sum("weight").alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"), F.max(F.coalesce("size_factor", F.lit(1.0))).alias("size_factor"))
@@ -169,5 +195,6 @@ def report(df: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed
     r = r.withColumn("target_tokens", F.floor(F.col("wanted") * F.col("target_share")).cast("long"))
     return r.select(
         "recipe", "source", "source_documents", "source_tokens", "target_share", "target_tokens", "actual_tokens", (F.col("actual_tokens") / F.greatest(F.sum("actual_tokens").over(w), F.lit(1))).alias("actual_share"),
-        "documents", F.when(F.col("source_tokens") > 0, F.col("actual_tokens") / F.col("source_tokens")).otherwise(0.0).alias("repeats"), "most_copies", "max_repeats", (F.col("target_tokens") - F.col("actual_tokens")).alias("shortfall_tokens"),
+        "documents", F.when(F.col("source_tokens") > 0, F.col("actual_tokens") / F.col("source_tokens")).otherwise(0.0).alias("repeats"), "most_copies", "max_repeats", F.greatest(F.col("target_tokens") - F.col("actual_tokens"), F.lit(0)).alias("shortfall_tokens"),
+        F.greatest(F.col("actual_tokens") - F.col("target_tokens"), F.lit(0)).alias("surplus_tokens"),
     )

@@ -49,3 +49,10 @@ def test_empty_and_long(spark):
     df = spark.createDataFrame([(1, "é" * 10 + "palavra é boa " * 200_000, 1, 1)], SCHEMA)
     assert E.found(df.limit(0)).count() == 0
     assert E.found(df).count() == 0
+
+
+def test_classes_are_bounded_and_apart():
+    cp = np.arange(0x110000)
+    k = E._classes(cp)
+    assert k.min() == 0 and k.max() == E.CLASSES - 1 and E.CLASSES**2 * 16 < 2.6e8
+    assert (k[:0x600] == cp[:0x600]).all() and len(set(k[0x2000:0x2800].tolist())) == 0x800 and (np.diff(k) >= 0).all()

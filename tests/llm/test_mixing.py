@@ -65,3 +65,20 @@ def test_other_seed_and_empty(spark):
 def test_counts_whole_texts(spark):
     df = spark.createDataFrame([(1, "alpha " * 200_000, "a", 1, 1)], DOCS)
     assert M.token_counts(df).first().n_tokens >= 200_000
+
+
+def test_what_a_source_lacks_goes_to_the_others():
+    assert M.fill(100, {"a": 1, "b": 1, "c": 2}, {"a": 10, "b": 1000, "c": 1000}) == {"a": 10, "b": 30, "c": 60}
+    assert M.fill(100, {"a": 1, "b": 3}, {"a": 10, "b": 20}) == {"a": 10, "b": 20}
+    assert M.fill(100, {"a": 1, "none": 3}, {"a": 500, "none": 0}) == {"a": 100, "none": 0}
+    assert M.fill(0, {"a": 1}, {"a": 5}) == {"a": 0} and M.fill(5, {}, {}) == {}
+
+
+def test_the_whole_size_is_reached(spark):
+    docs, targets = frames(spark)
+    report = [x for x in M.report(docs, targets).collect() if x.recipe == "r"]
+    wanted = sum(x.target_tokens for x in report)
+    assert abs(sum(x.actual_tokens for x in report) - wanted) <= len(report)
+    by = {x.source: x for x in report}
+    assert by["c"].repeats == 1 and by["c"].shortfall_tokens > 0 and abs(by["b"].actual_tokens - 2 * by["a"].actual_tokens) <= 2
+    assert by["a"].surplus_tokens > 0
