@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 
+#: Parts that the rows of one hash are spread over.
+SALTS = 8
+
 
 def page_features(pages: DataFrame) -> DataFrame:
     """One row per page id with text and status ``done``: hashes and sizes of the raw and the normalised text.
@@ -28,12 +31,16 @@ def page_features(pages: DataFrame) -> DataFrame:
 def mark_representatives(df: DataFrame, hash_col: str, id_col: str = "page_id", *order: str) -> DataFrame:
     """``df`` with ``is_representative``: true on the smallest id of each hash, null ids last, then by ``order``.
 
-    The smallest key is found by an aggregation with map-side combine and joined back, so that a hash
-    that a third of all rows share is never sorted in one task.
+    The smallest key is found by an aggregation with map-side combine.  A hash of one row needs no more; the
+    others are joined back by hash and a part of the id, so that the rows of a hash that a third of all
+    share are spread over SALTS tasks.
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[F.col(c) for c in order])
-    best = df.groupBy(hash_col).agg(F.min(key).alias("best"))
-    return df.join(best, hash_col, "left").withColumn("is_representative", F.coalesce(key.eqNullSafe(F.col("best")), F.lit(False))).drop("best")
+    best = df.groupBy(hash_col).agg(F.min(key).alias("best"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    spread = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = df.withColumn("salt", F.pmod(F.xxhash64(id_col, *order), F.lit(SALTS)).cast("int")).join(spread, [hash_col, "salt"], "left")
+    alone = F.col("best").isNull() & F.col(hash_col).isNotNull()
+    return joined.withColumn("is_representative", alone | F.coalesce(key.eqNullSafe(F.col("best")), F.lit(False))).select(*df.columns, "is_representative")
 
 
 def groups(df: DataFrame, hash_col: str, id_col: str = "page_id") -> DataFrame:

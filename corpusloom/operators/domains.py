@@ -53,23 +53,36 @@ def children_reconciliation(canon: DataFrame) -> DataFrame:
 def ancestors(canon: DataFrame, wanted: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(id)``: the wanted domains and every ancestor of theirs, cycles included.
 
-    Only the ids that are new in a round are joined again; a round is written, so that the plan of the
-    next one does not grow.  Rounds go on until no new id appears; an error says that ``rounds`` were too few.
+    Only the ids that are new in a round are joined and written; the plan of the next round reads the tables of
+    those before.  Rounds go on until no new id appears; an error says that ``rounds`` were too few.
     """
     edges = canon.filter("parent_domain_id IS NOT NULL").select("id", F.col("parent_domain_id").alias("parent"))
-    known_ids = canon.select("id")
-    seen = materialize(wanted.select("id").distinct().join(known_ids, "id", "left_semi"), "closure")
-    new = seen
+    # parents that were exported, once: rounds need no further look at the table of domains
+    edges = materialize(edges.join(canon.select(F.col("id").alias("parent")), "parent", "left_semi"), "edges")
+    seen = new = materialize(wanted.select("id").distinct().join(canon.select("id"), "id", "left_semi"), "closure")
     done = 0
     while True:
-        up = new.join(edges, "id").select(F.col("parent").alias("id")).distinct().join(known_ids, "id", "left_semi").join(seen, "id", "left_anti")
-        new = materialize(up, "closure")
+        new = materialize(new.join(edges, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"), "closure")
         if new.isEmpty():
             return seen
         if done == rounds:
             raise RuntimeError(f"ancestors did not end in {rounds} rounds")
         done += 1
-        seen = materialize(seen.unionByName(new), "closure")
+        seen = seen.unionByName(new)
+
+
+def running(df: DataFrame, order: str, **sums: str) -> DataFrame:
+    """``df`` with running sums in the order of ``order``, which must be distinct: ``running(df, "v", upto="m")`` adds up m.
+
+    Rows are parted by ranges of ``order``; each range begins with the sums of those before, of which there is
+    one row a range, so that no task sorts all rows.
+    """
+    parted = materialize(df.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = parted.groupBy("range").agg(*[F.sum(c).alias(f"{n}_own") for n, c in sums.items()])
+    starts = whole.select("range", *[F.coalesce(F.sum(f"{n}_own").over(before), F.lit(0)).alias(f"{n}_before") for n in sums])
+    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return parted.join(F.broadcast(starts), "range").select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"{n}_before")).alias(n) for n, c in sums.items()])
 
 
 def concentration(values: DataFrame, key: str, value: str, tops: tuple[int, ...] = (1, 10, 100, 1000)) -> DataFrame:
@@ -85,8 +98,7 @@ def concentration(values: DataFrame, key: str, value: str, tops: tuple[int, ...]
         head = v.orderBy(F.desc("v"), "k").limit(top).agg(F.lit(f"top_{top}").alias("metric"), F.sum("v").alias("value"))
         out = head if out is None else out.unionByName(head)
     sizes = v.groupBy("v").agg(F.count("*").alias("m"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = sizes.withColumn("upto", F.sum("m").over(w))
+    ranks = running(sizes, "v", upto="m")
     weighted = F.sum(F.col("v") * (F.col("m") * F.col("upto") - F.col("m") * (F.col("m") - 1) / 2))
     gini = ranks.agg(weighted.alias("s")).crossJoin(F.broadcast(total)).select(F.lit("gini").alias("metric"), (2 * F.col("s") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).alias("value"))
     joined = out.crossJoin(F.broadcast(total)).select("metric", F.round("value", 4).alias("value"), F.round(F.col("value") / F.col("total"), 6).alias("share"))
@@ -96,8 +108,8 @@ def concentration(values: DataFrame, key: str, value: str, tops: tuple[int, ...]
 def lorenz(values: DataFrame, value: str) -> DataFrame:
     """``(keys, share_keys, share_value)`` at each distinct value, from the smallest."""
     v = values.filter(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("m"))
-    w, everything = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    rows = v.select(F.sum("m").over(w).alias("keys"), F.sum("m").over(everything).alias("n"), F.sum(F.col("v") * F.col("m")).over(w).alias("c"), F.sum(F.col("v") * F.col("m")).over(everything).alias("t"))
+    v = v.withColumn("held", F.col("v") * F.col("m"))
+    rows = running(v, "v", keys="m", c="held").crossJoin(F.broadcast(v.agg(F.sum("m").alias("n"), F.sum("held").alias("t"))))
     return rows.select("keys", F.round(F.col("keys") / F.col("n"), 9).alias("share_keys"), F.round(F.col("c") / F.col("t"), 9).alias("share_value"))
 
 

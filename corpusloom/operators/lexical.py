@@ -19,8 +19,18 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def vocabulary(tok: DataFrame) -> DataFrame:
     """``(term, tf, df, is_stop)`` over all documents."""
-    each = tok.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).withColumn("is_stop", F.col("term").isin(*STOPWORDS))
+    return _counted(tok.select(F.col("words").alias("items")), "term").withColumn("is_stop", F.col("term").isin(*STOPWORDS))
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """``(<name>, tf, df)`` of the ``items`` of documents, one row each.
+
+    Every item counts as an occurrence and each distinct one of a row as a document, so that one shuffle with
+    map-side combine is enough and no document id travels.
+    """
+    one = lambda tf, df: lambda x: F.struct(x.alias(name), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
+    both = F.concat(F.transform("items", one(1, 0)), F.transform(F.array_distinct("items"), one(0, 1)))
+    return rows.select(F.explode(both).alias("x")).select("x.*").groupBy(name).agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocabulary_summary(vocab: DataFrame) -> DataFrame:
@@ -86,15 +96,14 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, words)``, one row per paragraph that has words: n-grams never cross a blank line."""
-    parts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.split(F.col(text_col), "\\n\\n")).alias("part"))
-    return parts.select("doc_id", tx.words(F.col("part")).alias("words")).filter(F.size("words") > 0)
+    """``(doc_id, parts)``, one row per document: the words of its paragraphs, as n-grams never cross a blank line."""
+    parts = F.transform(F.split(F.col(text_col), "\\n\\n"), tx.words)
+    return docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.filter(parts, lambda w: F.size(w) > 0).alias("parts"))
 
 
 def ngram_counts(seq: DataFrame, n: int) -> DataFrame:
-    """``(item, tf, df)`` of the n-grams of all paragraphs; exact in one pass."""
-    each = seq.select("doc_id", F.explode(ngrams(F.col("words"), n)).alias("item")).groupBy("doc_id", "item").agg(F.count("*").alias("n"))
-    return each.groupBy("item").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    """``(item, tf, df)`` of the n-grams of all paragraphs; exact in one pass and one shuffle."""
+    return _counted(seq.select(F.flatten(F.transform("parts", lambda w: ngrams(w, n))).alias("items")), "item")
 
 
 def marginals(bigrams: DataFrame) -> DataFrame:

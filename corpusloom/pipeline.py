@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import boilerplate, content, dedup, domains, lexical, near, sampling
+from corpusloom.session import clear, exists, files
 from corpusloom.sources import sinks, tables
 
 
@@ -64,13 +65,6 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def identity(path: str) -> dict:
-    """Size and change time of each file of a local source."""
-    root = Path(path.removeprefix("file://"))
-    files = sorted(p for p in root.rglob("*") if p.is_file() and not p.name.startswith(("_", "."))) if root.is_dir() else [root]
-    return {str(p): [p.stat().st_size, int(p.stat().st_mtime)] for p in files}
-
-
 class Pipeline:
     """Runs stages into ``output/stages`` once each, and reports into ``output/public``."""
 
@@ -80,7 +74,7 @@ class Pipeline:
 
     def verify(self) -> dict:
         """Identity of sources and parameters; an error if earlier stages were made from others."""
-        own = {"sources": {k: identity(getattr(self.config, k)) for k in ("pages", "domains")}, "config": self.config.fingerprint()}
+        own = {"sources": {k: files(self.spark, getattr(self.config, k)) for k in ("pages", "domains")}, "config": self.config.fingerprint()}
         known = Path(self.config.output, "identity.json")
         if known.exists() and json.loads(known.read_text()) != own:
             raise SourceChanged("sources or parameters differ from those of earlier stages")
@@ -91,7 +85,7 @@ class Pipeline:
     def stage(self, name: str, make) -> DataFrame:
         """The table of a stage; made unless an earlier run completed it."""
         path = f"{self.stages}/{name}"
-        if not Path(path.removeprefix("file://"), "_SUCCESS").exists():
+        if not exists(self.spark, f"{path}/_SUCCESS"):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
@@ -136,11 +130,12 @@ class Pipeline:
         sinks.write_checksums(self.public)
         if any(checks.values()):
             raise LoomError(f"invariants do not hold: {checks}")
+        clear(self.spark)
         return {"files": len(files), "violations": checks}
 
     def near_duplicates(self) -> dict:
         """Groups of near-duplicates among the unique clean documents; needs a completed run."""
-        if not Path(f"{self.stages}/unique/_SUCCESS".removeprefix("file://")).exists():
+        if not exists(self.spark, f"{self.stages}/unique/_SUCCESS"):
             raise LoomError("near-duplicates need a completed run")
         docs = self.spark.read.parquet(f"{self.stages}/unique")
         groups = self.stage("near", lambda: near.near_groups(docs, self.config.jaccard, id_col="page_id"))
