@@ -185,17 +185,103 @@ def short_pair_candidates(docs: DataFrame, min_documents: int = 20, fraction: fl
     return found.join(sizes, "domain_id").withColumn("threshold", threshold).filter("document_frequency >= threshold")
 
 
-def two_rounds(pages: DataFrame) -> DataFrame:
-    """``(page_id, domain_id, characters_before, characters_clean, characters_final, removed_lines)``: both cleaning rounds.
+#: Kinds of residual units in the order in which they are cut.
+RESIDUAL = ("mediawiki", "short_line", "short_pair")
 
-    The first round cuts candidate paragraphs and blocks, the second the residual short lines that
-    are frequent in the edges of the cleaned documents.
+
+def residual_units(docs: DataFrame, wiki: DataFrame) -> DataFrame:
+    """``(page_id, domain_id, kind, unit, rule)``: the distinct residual units of documents of known domains.
+
+    Interface lines are looked for in the domains of ``wiki`` (``domain_id``) only; short lines and pairs in the edges of all.
+    """
+    known, none = docs.filter("domain_id IS NOT NULL"), F.lit(None).cast("string")
+    marked = known.join(wiki.select("domain_id").distinct(), "domain_id", "left_semi")
+    lines = marked.select("page_id", "domain_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), noise.canonical_line))).alias("unit"))
+    interface = lines.select("page_id", "domain_id", F.lit(RESIDUAL[0]).alias("kind"), "unit", noise.wiki_rule(F.col("unit")).alias("rule")).filter("rule IS NOT NULL")
+    short = edge_lines(known).select("page_id", "domain_id", F.lit(RESIDUAL[1]).alias("kind"), F.col("line").alias("unit"), none.alias("rule"))
+    pairs = short_pairs(known).select("page_id", "domain_id", F.lit(RESIDUAL[2]).alias("kind"), F.col("pair").alias("unit"), none.alias("rule"))
+    return interface.unionByName(short).unionByName(pairs)
+
+
+def residual_candidates(units: DataFrame, docs: DataFrame, min_documents: int = 20, fraction: float = 0.01) -> DataFrame:
+    """Residual units by domain: interface lines always, the others on at least greatest(min_documents, ceil(fraction * documents)) documents."""
+    sizes = docs.filter("domain_id IS NOT NULL").groupBy("domain_id").agg(F.count("*").alias("domain_documents"))
+    found = units.groupBy("domain_id", "kind", "unit", "rule").agg(F.count("*").alias("document_frequency"), F.min("page_id").alias("representative"))
+    frequent = F.greatest(F.lit(min_documents), F.ceil(F.col("domain_documents") * F.lit(fraction))).cast("long")
+    threshold = F.when(F.col("kind") == RESIDUAL[0], F.lit(1).cast("long")).otherwise(frequent)
+    return found.filter((F.col("kind") == RESIDUAL[0]) | (F.col("document_frequency") >= min_documents)).join(sizes, "domain_id").withColumn("threshold", threshold).filter("document_frequency >= threshold")
+
+
+def approved_residuals(found: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Candidates without the exceptions of a review.
+
+    ``rejected`` holds ``(domain_id, kind, unit)`` of those judged not to be boilerplate: an interface line
+    disables its rule everywhere, any other unit is left out in its domain only.
+    """
+    rules = found.filter(F.col("kind") == RESIDUAL[0]).join(rejected, ["domain_id", "kind", "unit"], "left_semi").select("rule").distinct()
+    return found.join(rules, "rule", "left_anti").join(rejected, ["domain_id", "kind", "unit"], "left_anti")
+
+
+def clean_residual(docs: DataFrame, approved: DataFrame, salts: int = 8) -> DataFrame:
+    """``(page_id, domain_id, text, characters_before, <kind>_characters..., characters_after)``: documents without approved residual units.
+
+    Kinds are cut in the order of RESIDUAL, and the characters of a kind are what it covers beyond the kinds before it.
+    Interface lines are cut in the domains that still have an approved one, whatever the table of domains says.
+    Which units of a document are approved is found by a join salted by document; lines are then cut by position.
+    """
+    wiki = approved.filter(F.col("kind") == RESIDUAL[0]).select("domain_id")
+    keyed = approved.select("domain_id", "kind", "unit", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    units = residual_units(docs, wiki).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    hits = units.join(keyed, ["domain_id", "kind", "unit", "salt"]).groupBy("page_id").agg(F.collect_set(F.concat_ws(":", "kind", "unit")).alias("keys"))
+    empty = F.array().cast("array<int>")
+    has = lambda kind, unit: F.array_contains("keys", F.concat(F.lit(f"{kind}:"), unit))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("at"), F.length(x).alias("n"))), lambda s: s["x"] != "")
+    rows = docs.join(hits, "page_id", "left").withColumn("own", lines).withColumn("n", F.size("own")).withColumn("edge", _edge(F.size("own")))
+    near = lambda i: (i < F.col("edge")) | (i >= F.col("n") - F.col("edge"))
+    at = lambda found: F.when(F.col("keys").isNull(), empty).otherwise(F.transform(found, lambda s: s["at"]))
+    rows = rows.withColumn("mediawiki_at", at(F.filter("own", lambda s: has(RESIDUAL[0], noise.canonical_line(s["x"])))))
+    rows = rows.withColumn("short_line_at", at(F.filter("own", lambda s, i: near(i) & has(RESIDUAL[1], F.regexp_replace(F.lower(s["x"]), "\\s+", " ")))))
+    after = lambda i: F.get("own", i + 1)
+    pair = lambda s, i: has(RESIDUAL[2], noise.canonical_line(F.concat_ws("\n", s["x"], after(i)["x"])))
+    rows = rows.withColumn("pair_at", at(F.filter("own", lambda s, i: (i + 1 < F.col("n")) & near(i) & near(i + 1) & (after(i)["at"] == s["at"] + 1) & pair(s, i))))
+    rows = rows.withColumn("short_pair_at", F.array_union("pair_at", F.transform("pair_at", lambda i: i + 1)))
+    covered = lambda name: F.aggregate(F.filter("own", lambda s: F.array_contains(name, s["at"])), F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
+    rows = rows.withColumn("short_line_at", F.array_except("short_line_at", "mediawiki_at")).withColumn("short_pair_at", F.array_except("short_pair_at", F.array_union("mediawiki_at", "short_line_at")))
+    rows = rows.withColumn("cut", F.array_union(F.array_union("mediawiki_at", "short_line_at"), "short_pair_at"))
+    # a cut line leaves its line break; the break inside a pair goes with it
+    joined = F.transform("pair_at", lambda i: i + 1)
+    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.when(F.array_contains("cut", i), F.lit("")).otherwise(x).alias("x"), i.alias("at"))), lambda s: ~F.array_contains(joined, s["at"]))
+    text = F.when(F.size("cut") > 0, tx.normalized(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))).otherwise(F.col("text"))
+    out = rows.select(
+        "page_id", "domain_id", text.alias("clean"), F.length("text").cast("long").alias("characters_before"), covered("mediawiki_at").alias("mediawiki_characters"),
+        covered("short_line_at").alias("short_line_characters"), (covered("short_pair_at") + F.size("pair_at")).alias("short_pair_characters"), F.size("cut").cast("long").alias("removed_lines"),
+    )
+    return out.withColumn("characters_after", F.length("clean").cast("long")).withColumnRenamed("clean", "text")
+
+
+def _edge(n):
+    """``edge`` as a column."""
+    size = F.greatest(F.lit(3), F.ceil(F.lit(0.10) * n)).cast("int")
+    return F.when(n > 2, F.least(size, F.greatest(F.lit(1), F.floor((n - 1) / 2).cast("int")))).otherwise(size)
+
+
+def second_round(pages: DataFrame, canon: DataFrame | None = None) -> DataFrame:
+    """Both cleaning rounds: ``clean_residual`` of what the first round leaves, with ``characters_raw`` before both.
+
+    ``canon`` has ``id`` and ``is_wiki`` and says where interface lines are looked for; without it, nowhere.
     """
     docs = clean_pages(pages)
     first = materialize(clean(docs, candidates(text_units(docs), docs)).filter("text <> ''"), "clean-one")
-    found = short_line_candidates(first).select("domain_id", "line")
-    hits = edge_lines(first.filter("domain_id IS NOT NULL")).join(found, ["domain_id", "line"]).groupBy("page_id").agg(F.collect_set("line").alias("drop"))
-    own = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    rows = first.join(hits, "page_id", "left").withColumn("own", own)
-    kept = F.when(F.col("drop").isNull(), F.col("own")).otherwise(F.filter("own", lambda x: ~F.array_contains("drop", F.regexp_replace(F.lower(x), "\\s+", " "))))
-    return rows.withColumn("kept", kept).select("page_id", "domain_id", "characters_before", F.col("characters_after").alias("characters_clean"), F.length(F.concat_ws("\n", "kept")).cast("long").alias("characters_final"), (F.size("own") - F.size("kept")).cast("long").alias("removed_lines"))
+    wiki = docs.select("domain_id").limit(0) if canon is None else canon.filter("is_wiki").select(F.col("id").alias("domain_id"))
+    found = materialize(residual_candidates(residual_units(first, wiki), first), "residual")
+    sizes = first.select("page_id", F.col("characters_before").alias("characters_raw"))
+    return clean_residual(first.select("page_id", "domain_id", "text"), found).join(sizes, "page_id")
+
+
+def two_rounds(pages: DataFrame, canon: DataFrame | None = None) -> DataFrame:
+    """``(page_id, domain_id, characters_before, characters_clean, <kind>_characters..., characters_final, removed_lines)``: both cleaning rounds.
+
+    The first round cuts candidate paragraphs and blocks; the second interface lines, short lines and pairs of short lines.
+    """
+    kinds = [f"{k}_characters" for k in RESIDUAL]
+    return second_round(pages, canon).select("page_id", "domain_id", F.col("characters_raw").alias("characters_before"), F.col("characters_before").alias("characters_clean"), *kinds, F.col("characters_after").alias("characters_final"), "removed_lines")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,15 @@ def frequency_of_frequencies(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("tf").agg(F.count("*").alias("types"))
 
 
-def top_terms(tok: DataFrame, k: int = 100, noise: tuple[str, ...] = ()) -> DataFrame:
-    """The ``k`` most frequent terms, noise left out before the cut; ties by term."""
-    words = tok.select(F.explode("words").alias("term"))
-    return (words.filter(~F.col("term").isin(*noise)) if noise else words).groupBy("term").agg(F.count("*").alias("tf")).orderBy(F.desc("tf"), "term").limit(k)
+def top_terms(tok: DataFrame, k: int = 100, noise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The ``k`` most frequent terms, those that ``noise`` holds for left out before the cut; ties by term."""
+    counts = tok.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    return (counts.filter(~noise(F.col("term"))) if noise else counts).orderBy(F.desc("tf"), "term").limit(k)
+
+
+def top_ngrams(counts: DataFrame, k: int = 100, noise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The ``k`` most frequent n-grams with ``tf`` and ``df``, noise left out before the cut; ties by item."""
+    return (counts.filter(~noise(F.col("item"))) if noise else counts).orderBy(F.desc("tf"), "item").limit(k).select("item", "tf", "df")
 
 
 def approximate_top_terms(tok: DataFrame, k: int = 20, tracked: int = 10_000) -> DataFrame:

@@ -89,10 +89,13 @@ class Pipeline:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def gate(self, name: str, candidates: DataFrame, key: str) -> None:
-        """Passes if there is nothing to judge or the judged sample is precise enough; unsure counts as wrong."""
+    def gate(self, name: str, candidates: DataFrame, key: str) -> DataFrame | None:
+        """Passes if there is nothing to judge or the judged sample is precise enough; unsure counts as wrong.
+
+        Returns the labels by sample id, if there are any.
+        """
         if not self.config.review or candidates.isEmpty():
-            return
+            return None
         sheet, filled = f"{self.config.output}/review/{name}.csv", f"{self.config.output}/review/{name}-filled.csv"
         if not Path(filled).exists():
             sample = candidates.withColumn("one", F.lit(name))
@@ -102,6 +105,7 @@ class Pipeline:
         row = sampling.review_gate(labels, "one", F.col("label") == "yes", self.config.min_precision, self.config.min_lower).first()
         if row is None or not row.approved:
             raise ReviewRejected(f"{name}: precision {row and row.precision}, lower bound {row and row.lower}")
+        return labels
 
     def run(self) -> dict:
         """All stages and reports; what is complete is not made again."""
@@ -113,7 +117,14 @@ class Pipeline:
         found = self.stage("candidates", lambda: boilerplate.candidates(boilerplate.text_units(docs), docs))
         self.gate("candidates", found, "unit")
         cleaned = self.stage("clean", lambda: boilerplate.clean(docs, found).filter("text <> ''"))
-        unique = self.stage("unique", lambda: cleaned.join(cleaned.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("page_id").alias("page_id")), "page_id", "left_semi"))
+        wiki = canon.filter("is_wiki").select(F.col("id").alias("domain_id"))
+        residual = self.stage("residual", lambda: boilerplate.residual_candidates(boilerplate.residual_units(cleaned, wiki), cleaned).withColumn("review_key", F.concat_ws(":", "domain_id", "kind", "unit")))
+        labels = self.gate("residual", residual, "review_key")
+        if labels is not None:
+            judged = residual.withColumn("sample_id", F.substring(F.sha2("review_key", 256), 1, 20)).join(labels.filter("label = 'no'").select("sample_id"), "sample_id")
+            residual = boilerplate.approved_residuals(residual, judged.select("domain_id", "kind", "unit"))
+        final = self.stage("final", lambda: boilerplate.clean_residual(cleaned.select("page_id", "domain_id", "text"), residual).filter("text <> ''"))
+        unique = self.stage("unique", lambda: final.join(dedup.mark_representatives(final.select("page_id", F.sha2("text", 256).alias("h")), "h").filter("is_representative").select("page_id"), "page_id", "left_semi"))
         named = unique.withColumnRenamed("page_id", "doc_id")
         vocab = self.stage("vocabulary", lambda: lexical.vocabulary(lexical.tokens(named)))
         bigrams = self.stage("bigrams", lambda: lexical.ngram_counts(lexical.sequences(named), 2))
@@ -126,7 +137,7 @@ class Pipeline:
         }
         files = [p for name, df in reports.items() for p in sinks.write_table(df, self.public, name)]
         checks = {r.check: r.violations for r in sampling.broken({"df_at_most_tf": (vocab, F.col("df") <= F.col("tf")), "cleaning_shrinks": (cleaned, F.col("characters_after") <= F.col("characters_before"))}).collect()}
-        sinks.write_json({"pages": features.count(), "documents": docs.count(), "clean": cleaned.count(), "unique": unique.count(), "violations": checks}, f"{self.public}/summary.json")
+        sinks.write_json({"pages": features.count(), "documents": docs.count(), "clean": cleaned.count(), "final": final.count(), "unique": unique.count(), "violations": checks}, f"{self.public}/summary.json")
         sinks.write_checksums(self.public)
         if any(checks.values()):
             raise LoomError(f"invariants do not hold: {checks}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import noise
 from corpusloom.functions import text as tx
 from corpusloom.operators import boilerplate, content, dedup, domains, lexical, near, sampling
 from corpusloom.plans import sql
@@ -116,7 +117,7 @@ def _(s, d):
 
 @_query("normalized_dedup", f"WITH {sql.PAGES} SELECT page_id, domain_id, normalized_sha256, row_number() OVER (PARTITION BY normalized_sha256 ORDER BY page_id) = 1 AS is_representative FROM feat")
 def _(s, d):
-    return dedup.mark_representatives(_features(s, d).select("page_id", "domain_id", "normalized_sha256"), "normalized_sha256")
+    return dedup.mark_representatives(materialize(_features(s, d).select("page_id", "domain_id", "normalized_sha256"), "features"), "normalized_sha256")
 
 
 @_query("dedup_cluster_summary", f"WITH {sql.PAGES} {_CLUSTERS.format(stage='raw', h='raw_sha256')} UNION ALL {_CLUSTERS.format(stage='normalized', h='normalized_sha256')}")
@@ -181,7 +182,7 @@ def _(s, d):
 def _(s, d):
     docs = _page_docs(s, d)
     rows = boilerplate.clean(docs, boilerplate.candidates(boilerplate.text_units(docs), docs)).filter("text <> ''")
-    return dedup.mark_representatives(rows.select("page_id", "domain_id", F.sha2("text", 256).alias("clean_sha256")), "clean_sha256")
+    return dedup.mark_representatives(materialize(rows.select("page_id", "domain_id", F.sha2("text", 256).alias("clean_sha256")), "clean"), "clean_sha256")
 
 
 @_query("short_line_candidates", rf"""WITH {sql.PAGES}, own AS (SELECT page_id, domain_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM page_docs WHERE domain_id IS NOT NULL),
@@ -194,19 +195,45 @@ def _(s, d):
     return boilerplate.short_line_candidates(_page_docs(s, d))
 
 
-@_query("short_pair_candidates")
+@_query("short_pair_candidates", rf"""WITH {sql.PAGES}, own AS (SELECT page_id, domain_id, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {{'x': trim(x), 'at': i}}), lambda s: s.x <> '') AS ls FROM page_docs WHERE domain_id IS NOT NULL),
+e AS (SELECT *, CASE WHEN len(ls) > 2 THEN least(greatest(3, ceil(0.1 * len(ls))), greatest(1, (len(ls) - 1) // 2)) ELSE greatest(3, ceil(0.1 * len(ls))) END AS edge FROM own),
+l AS (SELECT DISTINCT page_id, domain_id, trim(regexp_replace(lower(ls[i].x || chr(10) || ls[i + 1].x), '\s+', ' ', 'g')) AS pair FROM (SELECT *, unnest(range(1, len(ls))) AS i FROM e)
+  WHERE ls[i + 1].at = ls[i].at + 1 AND (i <= edge OR i > len(ls) - edge) AND (i + 1 <= edge OR i + 1 > len(ls) - edge)),
+n AS (SELECT domain_id, count(*) AS n FROM own GROUP BY 1)
+SELECT l.domain_id, pair, CAST(count(*) AS BIGINT) AS document_frequency, min(page_id) AS representative, CAST(n AS BIGINT) AS domain_documents, CAST(greatest(20, ceil(0.01 * n)) AS BIGINT) AS threshold FROM l JOIN n ON l.domain_id = n.domain_id
+WHERE length(pair) BETWEEN 6 AND 159 GROUP BY l.domain_id, pair, n HAVING count(*) >= greatest(20, ceil(0.01 * n))""")
 def _(s, d):
     return boilerplate.short_pair_candidates(_page_docs(s, d))
 
 
-@_query("interface_lines")
+_RULES = "CASE WHEN line IN (" + ", ".join(f"'{x}'" for x in noise.WIKI_LINES) + ") THEN 'literal:' || line " + " ".join(f"WHEN regexp_full_match(line, '(?i:{p})') THEN 'pattern:{i}'" for i, p in enumerate(noise.WIKI_PATTERNS)) + " END"
+_WIKI = r"regexp_matches(host, '(^|\.)(" + "|".join(h.replace(".", r"\.") for h in tx.WIKI_HOSTS) + ")$')"
+
+
+@_query("interface_lines", rf"""WITH {sql.PAGES}, {sql.DOMAINS}, l AS (SELECT DISTINCT page_id, domain_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS line FROM (SELECT page_id, domain_id, unnest(string_split(text, chr(10))) AS x FROM page_docs) WHERE domain_id IN (SELECT id FROM canon WHERE {_WIKI})),
+r AS (SELECT *, {_RULES} AS rule FROM l) SELECT domain_id, line, rule, CAST(count(*) AS BIGINT) AS document_frequency FROM r WHERE rule IS NOT NULL GROUP BY 1, 2, 3""")
 def _(s, d):
     return boilerplate.interface_lines(_page_docs(s, d), _canon(s, d))
 
 
 @_query("clean_two_rounds")
 def _(s, d):
-    return boilerplate.two_rounds(table(s, d, "pages"))
+    return boilerplate.two_rounds(table(s, d, "pages"), _canon(s, d))
+
+
+@_query("d4_dedup")
+def _(s, d):
+    final = boilerplate.second_round(table(s, d, "pages"), _canon(s, d)).filter("text <> ''")
+    return dedup.mark_representatives(materialize(final.select("page_id", "domain_id", F.sha2("text", 256).alias("final_sha256")), "final"), "final_sha256")
+
+
+@_query("cleaning_rounds")
+def _(s, d):
+    rows = materialize(boilerplate.second_round(table(s, d, "pages"), _canon(s, d)), "rounds")
+    kinds = [F.sum(f"{k}_characters").alias(f"{k}_characters") for k in boilerplate.RESIDUAL]
+    v1 = rows.agg(F.lit("v1").alias("view"), F.count("*").alias("documents"), F.sum("characters_raw").alias("before"), F.sum("characters_before").alias("after"), *[F.lit(0).cast("long").alias(f"{k}_characters") for k in boilerplate.RESIDUAL], F.count_if(F.col("characters_before") == 0).alias("emptied"))
+    v2 = rows.agg(F.lit("v2").alias("view"), F.count("*").alias("documents"), F.sum("characters_before").alias("before"), F.sum("characters_after").alias("after"), *kinds, F.count_if(F.col("text") == "").alias("emptied"))
+    return v1.unionByName(v2)
 
 
 # --- vocabulary and n-grams -------------------------------------------------------------------------
@@ -239,9 +266,25 @@ def _(s, d):
     return lexical.top_terms(_tok(s, d))
 
 
-@_query("top_terms_without_noise", f"WITH {sql.VOCABULARY} SELECT term, CAST(count(*) AS BIGINT) AS tf FROM occ WHERE term NOT IN {_STOP} GROUP BY term ORDER BY tf DESC, term LIMIT 100")
+_NOISE = sql.stop_list(tuple(sorted({*noise.WIKI_LINES, *noise.NOISE_WORDS, *noise.NOISE_PHRASES})))
+
+
+@_query("top_terms_without_noise", f"WITH {sql.PAGES}, occ AS (SELECT unnest({sql.words('text')}) AS term FROM page_docs) SELECT term, CAST(count(*) AS BIGINT) AS tf FROM occ WHERE term NOT IN {_NOISE} GROUP BY term ORDER BY tf DESC, term LIMIT 100")
 def _(s, d):
-    return lexical.top_terms(_tok(s, d), noise=lexical.STOPWORDS)
+    return lexical.top_terms(lexical.tokens(_page_docs(s, d), "page_id"), noise=noise.is_noise)
+
+
+_PAIRS_OF_PAGES = sql.ngrams(2).replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT page_id AS doc_id, text FROM page_docs)")
+
+
+@_query("top_bigrams", f"WITH {sql.PAGES}, {_PAIRS_OF_PAGES} SELECT item, tf, df FROM counts2 ORDER BY tf DESC, item LIMIT 100")
+def _(s, d):
+    return lexical.top_ngrams(lexical.ngram_counts(lexical.sequences(_page_docs(s, d), "page_id"), 2))
+
+
+@_query("top_bigrams_without_noise", f"WITH {sql.PAGES}, {_PAIRS_OF_PAGES} SELECT item, tf, df FROM counts2 WHERE item NOT IN {_NOISE} ORDER BY tf DESC, item LIMIT 100")
+def _(s, d):
+    return lexical.top_ngrams(lexical.ngram_counts(lexical.sequences(_page_docs(s, d), "page_id"), 2), noise=noise.is_noise)
 
 
 @_query("approximate_top_terms")
@@ -353,12 +396,21 @@ def _(s, d):
     return _tok(s, d).filter(F.size("words") >= content.WINDOW).select("doc_id", F.round(content.mattr(F.col("words")), 6).alias("mattr"))
 
 
-@_query("structure_histogram")
+_STRUCTURE = rf"""WITH base AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?…]+(\s|$)|\n+', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS s,
+list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+each AS (SELECT 'sentences_per_document' AS metric, len(s) AS value FROM base UNION ALL SELECT 'paragraphs_per_document', len(p) FROM base
+UNION ALL SELECT 'words_per_sentence', len({sql.words('x')}) FROM (SELECT unnest(s) AS x FROM base) UNION ALL SELECT 'characters_per_sentence', length(x) FROM (SELECT unnest(s) AS x FROM base)
+UNION ALL SELECT 'words_per_paragraph', len({sql.words('x')}) FROM (SELECT unnest(p) AS x FROM base) UNION ALL SELECT 'characters_per_paragraph', length(x) FROM (SELECT unnest(p) AS x FROM base)),
+h AS (SELECT metric, CAST(value AS BIGINT) AS value, CAST(count(*) AS BIGINT) AS "count" FROM each GROUP BY 1, 2)"""
+
+
+@_query("structure_histogram", f"{_STRUCTURE} SELECT * FROM h")
 def _(s, d):
     return content.structure_histogram(_docs(s, d))
 
 
-@_query("weighted_quantiles")
+@_query("weighted_quantiles", f"""{_STRUCTURE}, b AS (SELECT *, sum("count") OVER (PARTITION BY metric ORDER BY value) AS c, sum("count") OVER (PARTITION BY metric) AS t FROM h)
+SELECT metric, CAST(max(t) AS BIGINT) AS units, round(sum(value * "count") / max(t), 6) AS mean, {', '.join(f"CAST(min(value) FILTER (WHERE c >= t * {q}) AS BIGINT) AS p{round(q * 100)}" for q in content.QUANTILES)} FROM b GROUP BY metric""")
 def _(s, d):
     return content.weighted_quantiles(content.structure_histogram(_docs(s, d)))
 
@@ -407,7 +459,7 @@ def _(s, d):
 
 
 @_query("domain_children_reconciliation", f"""WITH {sql.DOMAINS} SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE c.parent_domain_id IS NULL) AS BIGINT) AS without_parent, CAST(count(*) FILTER (WHERE c.parent_domain_id IS NOT NULL AND p.id IS NULL) AS BIGINT) AS missing_parent,
-CAST(count(p.id) AS BIGINT) AS linked, true AS reconciled FROM canon c LEFT JOIN canon p ON c.parent_domain_id = p.id""")
+CAST(count(p.id) AS BIGINT) AS linked, (SELECT sum(children) FROM (SELECT count(*) AS children FROM canon c JOIN canon p ON c.parent_domain_id = p.id GROUP BY p.id)) = count(p.id) AS reconciled FROM canon c LEFT JOIN canon p ON c.parent_domain_id = p.id""")
 def _(s, d):
     return domains.children_reconciliation(_canon(s, d))
 
@@ -460,9 +512,12 @@ def _metrics(s, d):
     return _canon(s, d).join(done, "id", "left").select("id", "host", F.coalesce("request_count", F.lit(0)).alias("requests"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-@_query("main_domains", f"{_METRICS}, r AS (SELECT *, row_number() OVER (ORDER BY requests DESC, id) AS a, row_number() OVER (ORDER BY documents DESC, id) AS b FROM m) SELECT id, host, requests, CAST(documents AS BIGINT) AS documents, CAST(documents AS BIGINT) AS words FROM r WHERE least(a, b) <= 100")
+@_query("main_domains", f"""{_WORDS_PER_SITE}, {_METRICS.replace('WITH ', '', 1)}, w AS (SELECT m.*, round(coalesce(site.words, 0), 6) AS words FROM m LEFT JOIN site ON site.domain_id = m.id),
+r AS (SELECT *, row_number() OVER (ORDER BY requests DESC, id) AS a, row_number() OVER (ORDER BY documents DESC, id) AS b, row_number() OVER (ORDER BY words DESC, id) AS c FROM w)
+SELECT id, host, requests, CAST(documents AS BIGINT) AS documents, words FROM r WHERE least(a, b, c) <= 100""")
 def _(s, d):
-    return domains.main_domains(materialize(_metrics(s, d).withColumn("words", F.col("documents")), "metrics"))
+    words = _site_words(s, d).select(F.col("domain_id").alias("id"), F.round("words", 6).alias("words"))
+    return domains.main_domains(materialize(_metrics(s, d).join(words, "id", "left").fillna(0.0, ["words"]), "metrics"))
 
 
 @_query("domain_shares", f"{_METRICS} SELECT id, host, requests, CAST(documents AS BIGINT) AS documents, round(CAST(requests AS DOUBLE) / nullif(sum(requests) OVER (), 0), 9) AS requests_share, round(CAST(documents AS DOUBLE) / nullif(sum(documents) OVER (), 0), 9) AS documents_share FROM m ORDER BY documents DESC, id LIMIT 100")
@@ -533,8 +588,32 @@ def _(s, d):
     return sampling.review_gate(table(s, d, "page_inventory"), "recursion_level", F.col("status") == "done")
 
 
-@_query("invariants", "SELECT unnest(['df_at_most_tf', 'marginals_match', 'text_bytes']) AS \"check\", unnest([0, 0, 0]::BIGINT[]) AS violations")
+@_query("invariants", f"""WITH {sql.PAGES}, {sql.DOMAINS}, {sql.VOCABULARY}, {sql.ngrams(2)}, {_MARGINALS},
+f AS (SELECT (SELECT count(*) FROM pages) AS a, (SELECT count(*) FROM pages WHERE status = 'done') AS b, (SELECT count(*) FROM pages WHERE status = 'done' AND text IS NOT NULL) AS c, (SELECT count(*) FROM feat) AS d, (SELECT count(DISTINCT raw_sha256) FROM feat) AS e, (SELECT count(DISTINCT normalized_sha256) FROM feat) AS g),
+v AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM occ GROUP BY term)
+SELECT 'funnel_falls' AS "check", CAST((a < b)::INT + (b < c)::INT + (c < d)::INT + (d < e)::INT + (e < g)::INT AS BIGINT) AS violations FROM f
+UNION ALL SELECT 'inventory_is_pages', CAST(count(*) AS BIGINT) FROM (SELECT status, count(*) AS n FROM pages GROUP BY 1) p FULL JOIN (SELECT status, count(*) AS n FROM page_inventory GROUP BY 1) i ON p.status IS NOT DISTINCT FROM i.status WHERE p.n IS DISTINCT FROM i.n
+UNION ALL SELECT 'groups_cover_pages', CAST((sum(n) <> (SELECT count(*) FROM feat))::INT AS BIGINT) FROM (SELECT count(*) AS n FROM feat GROUP BY normalized_sha256)
+UNION ALL SELECT 'df_at_most_tf', CAST(count(*) FILTER (WHERE df > tf) AS BIGINT) FROM v
+UNION ALL SELECT 'terms_are_words', CAST(((SELECT sum(tf) FROM v) IS DISTINCT FROM (SELECT sum(len(w)) FROM tok))::INT AS BIGINT)
+UNION ALL SELECT 'marginals_match', CAST(((SELECT sum(n) FROM l) IS DISTINCT FROM (SELECT sum(n) FROM r))::INT AS BIGINT)
+UNION ALL SELECT 'levels_cover_domains', CAST(((SELECT sum(n) FROM (SELECT count(*) AS n FROM canon GROUP BY recursion_level)) <> (SELECT count(DISTINCT id) FROM domain))::INT AS BIGINT)""")
 def _(s, d):
-    vocab, pairs = _vocab(s, d), materialize(_counts(s, d, 2), "bigrams")
+    vocab, pairs, feat, pages = materialize(_vocab(s, d), "vocabulary"), materialize(_counts(s, d, 2), "bigrams"), materialize(_features(s, d).drop("text"), "features"), table(s, d, "pages")
     sums = lexical.marginals(pairs).agg(F.sum("left_count").alias("l"), F.sum("right_count").alias("r"))
-    return sampling.broken({"df_at_most_tf": (vocab, F.col("df") <= F.col("tf")), "marginals_match": (sums, F.col("l").eqNullSafe(F.col("r"))), "text_bytes": (_features(s, d), F.col("raw_bytes") > 0)})
+    done = F.col("status") == "done"
+    steps = pages.agg(F.count("*").alias("a"), F.count_if(done).alias("b"), F.count_if(done & F.col("text").isNotNull()).alias("c")).crossJoin(feat.agg(F.count("*").alias("d"), F.countDistinct("raw_sha256").alias("e"), F.countDistinct("normalized_sha256").alias("g")))
+    falls = steps.select(F.posexplode(F.array("a", "b", "c", "d", "e")).alias("i", "above"), F.array("b", "c", "d", "e", "g").alias("below")).select("above", F.get("below", F.col("i")).alias("below"))
+    per = lambda name: table(s, d, name).groupBy(F.coalesce("status", F.lit("<null>")).alias("status")).agg(F.count("*").alias(name))
+    statuses = per("pages").join(per("page_inventory"), "status", "full")
+    one = lambda df, total, **kw: df.agg(F.sum(total).alias("x")).crossJoin(kw["of"])
+    groups = one(dedup.groups(feat, "normalized_sha256"), "pages", of=feat.agg(F.count("*").alias("y")))
+    words = one(vocab, "tf", of=_tok(s, d).agg(F.sum(F.size("words")).alias("y")))
+    levels = one(domains.levels(_canon(s, d)), "domains", of=table(s, d, "domain").agg(F.countDistinct("id").alias("y")))
+    same = F.col("x").eqNullSafe(F.col("y"))
+    return sampling.broken(
+        {
+            "funnel_falls": (falls, F.col("above") >= F.col("below")), "inventory_is_pages": (statuses, F.col("pages").eqNullSafe(F.col("page_inventory"))), "groups_cover_pages": (groups, same), "df_at_most_tf": (vocab, F.col("df") <= F.col("tf")),
+            "terms_are_words": (words, same), "marginals_match": (sums, F.col("l").eqNullSafe(F.col("r"))), "levels_cover_domains": (levels, same),
+        }
+    )

@@ -91,3 +91,32 @@ def test_interface_lines_and_pairs(spark):
     two = spark.createDataFrame([(1, 1, "Top one\n Next  two\n\nbody\nmore body\nlast"), (2, 1, ""), (3, 1, "single")], "page_id long, domain_id long, text string")
     assert rows(B.short_pairs(two), "page_id", "pair") == [(1, "more body last"), (1, "top one next two")]
     assert B.short_pair_candidates(two, min_documents=1).count() == 2 and B.short_pair_candidates(two.limit(0)).count() == 0
+
+
+def residual_docs(spark):
+    data = []
+    for i in range(24):
+        body = [f"Corpo do texto número {chr(97 + i)} com palavras próprias", f"segunda linha {chr(97 + i)} do corpo", f"terceira {chr(97 + i)} linha do corpo", f"quarta {chr(97 + i)} linha", f"quinta {chr(97 + i)} linha"]
+        data.append((i, 1, "\n".join(["Editar", "Menu da página", *body, "Fim da página", "x 1", "y 2"])))
+    data += [(100, 2, "Editar\nMenu da página\ncorpo\ncorpo dois\nfim"), (101, None, "Editar\nMenu da página"), (102, 1, "")]
+    return spark.createDataFrame(data, "page_id long, domain_id long, text string")
+
+
+def test_second_round_by_kind_and_exceptions(spark):
+    docs = residual_docs(spark)
+    wiki = spark.createDataFrame([(1,)], "domain_id long")
+    found = B.residual_candidates(B.residual_units(docs, wiki), docs).cache()
+    kinds = {(r.domain_id, r.kind, r.unit) for r in found.collect()}
+    assert kinds == {(1, "mediawiki", "editar"), (1, "short_line", "menu da página"), (1, "short_line", "fim da página"), (1, "short_pair", "editar menu da página"), (1, "short_pair", "fim da página x 1"), (1, "short_pair", "x 1 y 2")}
+    out = {r.page_id: r for r in B.clean_residual(docs, found).collect()}
+    first = out[0]
+    assert first.text.split("\n")[0].startswith("Corpo do texto") and first.text.endswith("quinta a linha")
+    assert (first.mediawiki_characters, first.short_line_characters) == (6, len("Menu da página") + len("Fim da página"))
+    assert first.short_pair_characters == len("x 1") + len("y 2") + 3 and first.removed_lines == 5
+    assert out[100].text.startswith("Editar") and out[101].removed_lines == 0 and out[102].text == ""
+    no = spark.createDataFrame([(1, "mediawiki", "editar"), (1, "short_pair", "x 1 y 2"), (1, "short_pair", "editar menu da página"), (1, "short_pair", "fim da página x 1")], "domain_id long, kind string, unit string")
+    kept = B.approved_residuals(found, no)
+    assert {(r.kind, r.unit) for r in kept.collect()} == {("short_line", "menu da página"), ("short_line", "fim da página")}
+    again = {r.page_id: r for r in B.clean_residual(docs, kept).collect()}
+    assert again[0].text.startswith("Editar\n") and again[0].text.endswith("x 1\ny 2") and again[0].mediawiki_characters == 0
+    assert B.clean_residual(docs.limit(0), found).count() == 0 and B.clean_residual(docs, found.limit(0)).filter("removed_lines > 0").count() == 0
