@@ -256,7 +256,8 @@ def clean_residual(docs: DataFrame, approved: DataFrame, salts: int = 8) -> Data
         "page_id", "domain_id", text.alias("clean"), F.length("text").cast("long").alias("characters_before"), covered("mediawiki_at").alias("mediawiki_characters"),
         covered("short_line_at").alias("short_line_characters"), (covered("short_pair_at") + F.size("pair_at")).alias("short_pair_characters"), F.size("cut").cast("long").alias("removed_lines"),
     )
-    return out.withColumn("characters_after", F.length("clean").cast("long")).withColumnRenamed("clean", "text")
+    # written here: a filter on the text would be pushed down and run all of this twice
+    return materialize(out, "clean-two").withColumn("characters_after", F.length("clean").cast("long")).withColumnRenamed("clean", "text")
 
 
 def _edge(n):

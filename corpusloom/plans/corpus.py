@@ -396,7 +396,7 @@ def _(s, d):
     return _tok(s, d).filter(F.size("words") >= content.WINDOW).select("doc_id", F.round(content.mattr(F.col("words")), 6).alias("mattr"))
 
 
-_STRUCTURE = rf"""WITH base AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?…]+(\s|$)|\n+', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS s,
+_STRUCTURE = rf"""WITH base AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?…]+\s|[.!?…]+$|\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS s,
 list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
 each AS (SELECT 'sentences_per_document' AS metric, len(s) AS value FROM base UNION ALL SELECT 'paragraphs_per_document', len(p) FROM base
 UNION ALL SELECT 'words_per_sentence', len({sql.words('x')}) FROM (SELECT unnest(s) AS x FROM base) UNION ALL SELECT 'characters_per_sentence', length(x) FROM (SELECT unnest(s) AS x FROM base)
