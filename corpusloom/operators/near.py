@@ -158,3 +158,21 @@ def all_near_groups(docs: DataFrame, jaccard: float = ALL_JACCARD, id_col: str =
     groups = near_groups(docs, jaccard, id_col=id_col, text_col=text_col, min_words=SHINGLE)
     short = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.size(tx.words(F.col(text_col))) < SHINGLE)).select(F.col(id_col).alias("doc_id")).distinct()
     return groups.unionByName(short.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
+def sensitivity(docs: DataFrame, jaccard: float = JACCARD, id_col: str = "page_id", text_col: str = "text", domain_col: str = "domain_id") -> DataFrame:
+    """One row: what collapsing near-duplicates would remove among distinct texts.
+
+    ``(eligible_documents, confirmed_pairs, groups, documents_removed, words_removed, affected_domains)``; the document
+    of a group that stays is the one with most words, then with the smallest id.
+    """
+    sets, members = shingle_sets(docs, id_col, text_col)
+    pairs = materialize(similar_sets(sets, jaccard), "near-pairs")
+    labels = components(sets.select(F.col("set_id").alias("id")), pairs)
+    words = docs.select(F.col(id_col).alias("doc_id"), F.col(domain_col).alias("domain_id"), F.size(tx.words(F.col(text_col))).cast("long").alias("words"))
+    rows = members.join(labels.select(F.col("id").alias("set_id"), F.col("component").alias("class_id")), "set_id").join(words, "doc_id")
+    rows = materialize(rows.select("doc_id", "class_id", "domain_id", "words"), "near-members")
+    kept = rows.groupBy("class_id").agg(F.min_by("doc_id", F.struct(-F.col("words"), F.col("doc_id"))).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    gone = rows.join(kept, "class_id").filter("doc_id <> kept").agg(F.count("*").alias("documents_removed"), F.coalesce(F.sum("words"), F.lit(0)).alias("words_removed"), F.countDistinct("domain_id").alias("affected_domains"))
+    counts = rows.agg(F.count("*").alias("eligible_documents")).crossJoin(pairs.agg(F.count("*").alias("confirmed_pairs"))).crossJoin(kept.agg(F.count("*").alias("groups")))
+    return counts.crossJoin(gone)

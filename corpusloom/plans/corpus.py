@@ -571,6 +571,17 @@ def _(s, d):
     return near.minhash_pairs(sets)
 
 
+@_query("near_sensitivity", f"""{_SHINGLES.replace('WITH ', 'WITH RECURSIVE ', 1).replace('page_docs)', 'one)', 1).replace(', tok AS', ', one AS (SELECT min(page_id) AS page_id, min_by(domain_id, page_id) AS domain_id, text FROM page_docs GROUP BY text), tok AS', 1)}, both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT set_id AS id, set_id AS other FROM heads UNION SELECT r.id, p.b FROM reach r JOIN both_ways p ON r.other = p.a), label AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id),
+every AS (SELECT m.doc_id, class_id, len(w) AS words, domain_id, row_number() OVER (PARTITION BY class_id ORDER BY len(w) DESC, m.doc_id) AS rn, count(*) OVER (PARTITION BY class_id) AS n FROM member m JOIN label ON label.id = m.set_id JOIN tok ON tok.doc_id = m.doc_id JOIN one ON one.page_id = m.doc_id)
+SELECT CAST(count(*) AS BIGINT) AS eligible_documents, CAST((SELECT count(*) FROM pairs) AS BIGINT) AS confirmed_pairs, CAST(count(DISTINCT class_id) FILTER (WHERE n > 1) AS BIGINT) AS groups, CAST(count(*) FILTER (WHERE rn > 1) AS BIGINT) AS documents_removed,
+CAST(coalesce(sum(words) FILTER (WHERE rn > 1), 0) AS BIGINT) AS words_removed, CAST(count(DISTINCT domain_id) FILTER (WHERE rn > 1) AS BIGINT) AS affected_domains FROM every""")
+def _(s, d):
+    docs = materialize(_page_docs(s, d), "documents")
+    first = dedup.mark_representatives(docs.select("page_id", F.sha2("text", 256).alias("h")), "h").filter("is_representative").select("page_id")
+    return near.sensitivity(docs.join(first, "page_id", "left_semi"))
+
+
 # --- samples, gates, invariants -----------------------------------------------------------------------------
 
 

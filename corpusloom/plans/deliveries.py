@@ -12,6 +12,7 @@ def queries() -> dict:
         "p1_found": lambda s, d: delivery.rejected(table(s, d, "raw_pages")),
         "p1_loaded": lambda s, d: delivery.loaded(table(s, d, "raw_pages")),
         "p1_reject_report": lambda s, d: delivery.reject_report(table(s, d, "raw_pages")),
+        "md5_representations": lambda s, d: delivery.md5_representations(table(s, d, "raw_pages")),
         "p6_found": lambda s, d: hierarchy.found(table(s, d, "domain")),
         "p6_cycles": lambda s, d: hierarchy.cycles(hierarchy.hierarchy(table(s, d, "domain"))),
         "p6_all_descendants": lambda s, d: hierarchy.all_descendants(hierarchy.hierarchy(table(s, d, "domain"))),
