@@ -271,12 +271,17 @@ def second_round(pages: DataFrame, canon: DataFrame | None = None) -> DataFrame:
 
     ``canon`` has ``id`` and ``is_wiki`` and says where interface lines are looked for; without it, nowhere.
     """
+    first, final = round_views(pages, canon)
+    return final.join(first.select("page_id", F.col("characters_before").alias("characters_raw")), "page_id")
+
+
+def round_views(pages: DataFrame, canon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents after the first cleaning round, empty ones left out, and after the second."""
     docs = clean_pages(pages)
     first = materialize(clean(docs, candidates(text_units(docs), docs)).filter("text <> ''"), "clean-one")
     wiki = docs.select("domain_id").limit(0) if canon is None else canon.filter("is_wiki").select(F.col("id").alias("domain_id"))
     found = materialize(residual_candidates(residual_units(first, wiki), first), "residual")
-    sizes = first.select("page_id", F.col("characters_before").alias("characters_raw"))
-    return clean_residual(first.select("page_id", "domain_id", "text"), found).join(sizes, "page_id")
+    return first, clean_residual(first.select("page_id", "domain_id", "text"), found)
 
 
 def two_rounds(pages: DataFrame, canon: DataFrame | None = None) -> DataFrame:

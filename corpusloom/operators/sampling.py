@@ -25,6 +25,19 @@ def stratified_sample(df: DataFrame, key: str, strata: list[str], per_stratum: i
     return first.withColumn("r", F.row_number().over(Window.partitionBy(*strata).orderBy("priority", key))).filter(F.col("r") <= per_stratum).drop("part").withColumnRenamed("r", "sample_rank")
 
 
+def balanced_sample(df: DataFrame, key: str, stratum: str, size: int, seed: int = 73129) -> DataFrame:
+    """``size`` rows with ``drawn``: half in seeded order over all rows, the rest in turns over the strata.
+
+    A turn takes the next row of each stratum in seeded order, so that small strata come in before large ones
+    come again; both halves are bounded top-k plans.  ``key`` must be distinct; a null stratum is one of its own.
+    """
+    first = df.withColumn("priority", priority(seed, F.col(key))).orderBy("priority", key).limit(size // 2)
+    rest = df.join(first.select(key), key, "left_anti")
+    turns = stratified_sample(rest, key, [stratum], size - size // 2, seed).orderBy("sample_rank", "priority", key).limit(size - size // 2)
+    columns = [F.col(c) for c in df.columns]
+    return first.select(*columns, F.lit("seeded").alias("drawn")).unionByName(turns.select(*columns, F.lit("turn").alias("drawn")))
+
+
 def wilson_lower(successes: Column, total: Column, z: float = Z) -> Column:
     """Lower bound of the score interval of a share; 0 without observations."""
     p = successes / total

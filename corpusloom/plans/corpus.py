@@ -227,6 +227,13 @@ def _(s, d):
     return dedup.mark_representatives(materialize(final.select("page_id", "domain_id", F.sha2("text", 256).alias("final_sha256")), "final"), "final_sha256")
 
 
+@_query("top_terms_by_view")
+def _(s, d):
+    first, final = boilerplate.round_views(table(s, d, "pages"), _canon(s, d))
+    top = lambda docs, view: lexical.top_terms(lexical.tokens(docs, "page_id"), noise=noise.is_noise).withColumn("view", F.lit(view))
+    return top(first, "v1").unionByName(top(final, "v2"))
+
+
 @_query("cleaning_rounds")
 def _(s, d):
     rows = materialize(boilerplate.second_round(table(s, d, "pages"), _canon(s, d)), "rounds")
@@ -590,6 +597,13 @@ def _(s, d):
     return sampling.stratified_sample(_docs(s, d).select("doc_id", "lang"), "doc_id", ["lang"], 20).select("doc_id", "lang", "sample_rank")
 
 
+@_query("balanced_sample", """WITH x AS (SELECT doc_id, source, sha256('73129:' || doc_id) AS p FROM documents), f AS (SELECT * FROM x ORDER BY p, doc_id LIMIT 100),
+t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p, doc_id) AS r FROM x WHERE doc_id NOT IN (SELECT doc_id FROM f) QUALIFY r <= 100)
+SELECT doc_id, source, 'seeded' AS drawn FROM f UNION ALL SELECT doc_id, source, 'turn' FROM (SELECT * FROM t ORDER BY r, p, doc_id LIMIT 100)""")
+def _(s, d):
+    return sampling.balanced_sample(_docs(s, d).select("doc_id", "source"), "doc_id", "source", 200)
+
+
 _WILSON = "((g / n + {z} * {z} / (2 * n)) - {z} * sqrt(g / n * (1 - g / n) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)".format(z=sampling.Z)
 
 

@@ -106,3 +106,13 @@ def test_gate_and_sample(spark):
     one = rows(S.stratified_sample(df, "id", ["g"], 5), "id", "g")
     assert one == rows(S.stratified_sample(df.repartition(7), "id", ["g"], 5), "id", "g") and len(one) == 10
     assert S.broken({"x": (df, F.col("id") < 98)}).first()["violations"] == 2
+
+
+def test_balanced_sample_takes_turns(spark):
+    data = [(i, "big" if i < 500 else f"small{i % 7}" if i < 530 else None) for i in range(540)]
+    df = spark.createDataFrame(data, "doc_id long, source string")
+    got = S.balanced_sample(df, "doc_id", "source", 60).collect()
+    assert len({r.doc_id for r in got}) == 60 and sum(r.drawn == "seeded" for r in got) == 30
+    turns = [r.source for r in got if r.drawn == "turn"]
+    assert len(set(turns)) == 9 and turns.count("big") <= 6
+    assert S.balanced_sample(df.limit(0), "doc_id", "source", 10).count() == 0 and S.balanced_sample(df.limit(3), "doc_id", "source", 10).count() == 3
