@@ -16,6 +16,8 @@ from corpusloom.session import materialize
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _FIELD_BREAK = re.compile(r"[\n\r|;\x0b\x0c\x85  ]+")
 _FIELD = re.compile(r"\s*[^\W\d_][^:.!?]*:\s*[^:]*\Z")
+_LABEL = re.compile(r"\s+([^\W\d_]+\s*:)")
+_SENTENCE = re.compile(r"[.!?](?:\s|$)")
 #: A key held by more rows than this is hot: it is aggregated in two levels.
 HOT_ROWS = 20_000
 SALTS = 64
@@ -25,16 +27,24 @@ def canonical(text: str) -> str:
     """Letters and digits of ``text`` in order, after NFC and case folding; '' if it has none.
 
     Where the whole text is ``label: value`` fields parted by line ends, ``|`` or ``;`` the fields
-    are sorted, so that their order does not matter.
+    are sorted, so that their order does not matter.  Where a line end became a blank, the last word before a
+    colon is taken for the label of a new field.
     """
     text = unicodedata.normalize("NFC", text).casefold()
     if ":" in text:
-        fields = [f for f in _FIELD_BREAK.split(text) if _NOT_ALNUM.sub("", f)]
+        fields = [f for piece in _FIELD_BREAK.split(text) for f in _parted(piece) if _NOT_ALNUM.sub("", f)]
         if _all_fields(fields):
             return "\x1f".join(sorted(_NOT_ALNUM.sub("", f) for f in _joined(fields)))
     return _NOT_ALNUM.sub("", text)
 
 
+def _parted(piece: str) -> list[str]:
+    """A piece with several colons and no sentence in it, parted before the last word before each further colon."""
+    if piece.count(":") < 2 or _SENTENCE.search(piece):
+        return [piece]
+    return _LABEL.sub(r"\n\1", piece).split("\n")
+
+
 def _joined(fields: list[str]) -> list[str]:
     """Fields with their continuation lines: a piece without a colon belongs to the field before it."""
     out: list[str] = []

@@ -41,10 +41,12 @@ _TEXTS = "page AS (SELECT id, any_value(domain_id) AS domain_id, any_value(text)
 _FOLDED = "replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ς', 'σ')"
 _BARE = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _KEYS = rf"""{_TEXTS}, folded AS (SELECT id, {_FOLDED} AS t FROM page),
-            parts AS (SELECT id, t, list_filter(regexp_split_to_array(t, '[\n\r|;\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]+'), lambda x: {_BARE.format(x='x')} <> '') AS f FROM folded),
+            pieces AS (SELECT id, t, regexp_split_to_array(t, '[\n\r|;\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]+') AS f FROM folded),
+            parted AS (SELECT id, t, flatten(list_transform(f, lambda x: CASE WHEN length(x) - length(replace(x, ':', '')) < 2 OR regexp_matches(x, '[.!?]({_SPACE[:-1]}|$)') THEN [x] ELSE string_split(regexp_replace(x, '{_SPACE}(\p{{L}}+{_SPACE[:-1]}*:)', chr(10) || '\1', 'g'), chr(10)) END)) AS f FROM pieces),
+            parts AS (SELECT id, t, list_filter(f, lambda x: {_BARE.format(x='x')} <> '') AS f FROM parted),
             joined AS (SELECT id, t, list_transform(range(1, len(f) + 1), lambda i: {{'first': i = 1 OR contains(f[i], ':'), 'x': f[i]}}) AS f FROM parts),
             fields AS (SELECT id, t, regexp_split_to_array(array_to_string(list_transform(f, lambda s, i: CASE WHEN s.first AND i > 1 THEN chr(1) || s.x ELSE s.x END), ''), chr(1)) AS f FROM joined),
-            keyed AS (SELECT id, CASE WHEN contains(t, ':') AND len(f) >= 2 AND len(list_filter(f, lambda x: NOT regexp_full_match(x, '\s*\p{{L}}[^:.!?]*:\s*[^:]*'))) = 0
+            keyed AS (SELECT id, CASE WHEN contains(t, ':') AND len(f) >= 2 AND len(list_filter(f, lambda x: NOT regexp_full_match(x, '{_SPACE[:-1]}*\p{{L}}[^:.!?]*:[^:]*'))) = 0
               THEN array_to_string(list_sort(list_transform(f, lambda x: {_BARE.format(x='x')})), chr(31)) ELSE {_BARE.format(x='t')} END AS key FROM fields WHERE {_BARE.format(x='t')} <> '')"""
 
 

@@ -48,3 +48,12 @@ def test_empty_and_long(spark):
     assert C.found(frame(spark, [])).count() == 0
     t = "word, " * 300_000
     assert rows(C.found(frame(spark, [(2, t), (1, t.upper().replace(",", "")), (3, t + "x")]))) == [(1, 2)]
+
+
+def test_fields_whose_line_end_became_a_blank():
+    page = "Brand: Mila Ravi\nCode: 7781\nOrigin: Tolka"
+    for other in ("Brand: Mila Ravi Code: 7781\nOrigin: Tolka", "Brand: Mila Ravi Code: 7781 Origin: Tolka", "Origin: Tolka | Code: 7781 | Brand: Mila Ravi", "origin: tolka; brand: mila ravi code: 7781"):
+        assert C.canonical(other) == C.canonical(page)
+    assert C.canonical("Share this page: Feed Home: x") == C.canonical("Share this page: Feed home: X")
+    a, b = "He said: no. She said: yes.", "She said: yes. He said: no."
+    assert C.canonical(a) != C.canonical(b)
