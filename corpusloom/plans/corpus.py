@@ -561,13 +561,18 @@ def _(s, d):
     return near.near_groups(_page_docs(s, d), id_col="page_id")
 
 
-@_query("all_near_pairs")
+_ALL_SHINGLES = _SHINGLES.replace("len(w) >= 50", "len(w) >= 5").replace(">= 0.85", ">= 0.8")
+
+
+@_query("all_near_pairs", f"{_ALL_SHINGLES} SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs")
 def _(s, d):
     sets, _members = near.shingle_sets(_page_docs(s, d), id_col="page_id", min_words=near.SHINGLE)
     return near.similar_sets(sets, near.ALL_JACCARD).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@_query("all_near_groups")
+@_query("all_near_groups", _ALL_SHINGLES.replace("WITH ", "WITH RECURSIVE ", 1) + """, both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT set_id AS id, set_id AS other FROM heads UNION SELECT r.id, p.b FROM reach r JOIN both_ways p ON r.other = p.a),
+label AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id), deg AS (SELECT a AS id, count(*) AS links FROM both_ways GROUP BY a)
+SELECT m.doc_id, class_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM member m JOIN label ON label.id = m.set_id LEFT JOIN deg ON deg.id = m.set_id UNION ALL SELECT doc_id, doc_id, CAST(0 AS BIGINT) FROM tok WHERE len(w) < 5""")
 def _(s, d):
     return near.all_near_groups(_page_docs(s, d), id_col="page_id")
 
