@@ -392,7 +392,22 @@ def _(s, d):
     return content.signal_prevalence(_profile(s, d))
 
 
-@_query("repetition_distribution")
+_STRUCTURE = rf"""WITH base AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?…]+\s|[.!?…]+$|\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS s,
+list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+each AS (SELECT 'sentences_per_document' AS metric, len(s) AS value FROM base UNION ALL SELECT 'paragraphs_per_document', len(p) FROM base
+UNION ALL SELECT 'words_per_sentence', len({sql.words('x')}) FROM (SELECT unnest(s) AS x FROM base) UNION ALL SELECT 'characters_per_sentence', length(x) FROM (SELECT unnest(s) AS x FROM base)
+UNION ALL SELECT 'words_per_paragraph', len({sql.words('x')}) FROM (SELECT unnest(p) AS x FROM base) UNION ALL SELECT 'characters_per_paragraph', length(x) FROM (SELECT unnest(p) AS x FROM base)),
+h AS (SELECT metric, CAST(value AS BIGINT) AS value, CAST(count(*) AS BIGINT) AS "count" FROM each GROUP BY 1, 2)"""
+_UNIT = r"regexp_replace(lower(x), '\s+', ' ', 'g')"
+_WORDS_OF = "coalesce(list_sum(list_transform({a}, lambda x: len(" + sql.words("x").replace("{", "{{").replace("}", "}}") + "))), 0)"
+_REPEATED = rf"""{_STRUCTURE.split(",\neach AS")[0]}, {sql.TOKENS},
+x AS (SELECT len(w) AS words, len(list_distinct(w)) AS forms, list_filter(list_transform(s, lambda x: {_UNIT}), lambda x: len({sql.words('x')}) >= 3) AS ls, list_filter(list_transform(p, lambda x: {_UNIT}), lambda x: length(x) >= 20) AS lp FROM base JOIN tok USING (doc_id) WHERE len(w) > 0),
+y AS (SELECT words, forms, {_WORDS_OF.format(a='ls')} - {_WORDS_OF.format(a='list_distinct(ls)')} AS rs, {_WORDS_OF.format(a='lp')} - {_WORDS_OF.format(a='list_distinct(lp)')} AS rp FROM x),
+z AS (SELECT 'ttr' AS metric, forms / words AS v FROM y UNION ALL SELECT 'repeated_sentence_fraction', rs / words FROM y UNION ALL SELECT 'repeated_paragraph_fraction', rp / words FROM y)
+SELECT metric, round(round(v, 6), 4) AS value, CAST(count(*) AS BIGINT) AS documents FROM z GROUP BY 1, 2"""
+
+
+@_query("repetition_distribution", _REPEATED)
 def _(s, d):
     return content.rounded_distribution(_profile(s, d))
 
@@ -403,14 +418,6 @@ def _(s, d):
     return _tok(s, d).filter(F.size("words") >= content.WINDOW).select("doc_id", F.round(content.mattr(F.col("words")), 6).alias("mattr"))
 
 
-_STRUCTURE = rf"""WITH base AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[.!?…]+\s|[.!?…]+$|\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS s,
-list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
-each AS (SELECT 'sentences_per_document' AS metric, len(s) AS value FROM base UNION ALL SELECT 'paragraphs_per_document', len(p) FROM base
-UNION ALL SELECT 'words_per_sentence', len({sql.words('x')}) FROM (SELECT unnest(s) AS x FROM base) UNION ALL SELECT 'characters_per_sentence', length(x) FROM (SELECT unnest(s) AS x FROM base)
-UNION ALL SELECT 'words_per_paragraph', len({sql.words('x')}) FROM (SELECT unnest(p) AS x FROM base) UNION ALL SELECT 'characters_per_paragraph', length(x) FROM (SELECT unnest(p) AS x FROM base)),
-h AS (SELECT metric, CAST(value AS BIGINT) AS value, CAST(count(*) AS BIGINT) AS "count" FROM each GROUP BY 1, 2)"""
-
-
 @_query("structure_histogram", f"{_STRUCTURE} SELECT * FROM h")
 def _(s, d):
     return content.structure_histogram(_docs(s, d))
